@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..cluster import ship
+
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_DIR = "/tmp/checkpoints"
 
@@ -23,6 +25,7 @@ class Scratch:
     """Parquet tables of one operator call. They go when the application ends, or earlier by drop()."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         path, fs = self._at(self.root)

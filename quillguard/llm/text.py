@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text worked on at once; one longer text is taken alone.
@@ -50,7 +51,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         end, begin = np.cumsum(sizes), 0
         while begin < batch.num_rows:
             done = end[begin - 1] if begin else 0
@@ -134,3 +135,26 @@ def whole_hash(words: np.ndarray) -> np.ndarray:
             out = mix(out + U(j)) + words[j : j + 1]
         out = mix(out ^ U(len(words)))
     return out
+
+
+def runs_hash(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of word hashes, starts up to ends."""
+    if not len(hashes):
+        return np.full(len(starts), mix(np.zeros(1, U))[0], U)
+    power, inverse = _powers(len(hashes))
+    sums = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * power, out=sums[1:])
+    at = np.minimum(starts, len(hashes) - 1)
+    return mix((sums[ends] - sums[starts]) * inverse[at] + (ends - starts).astype(U))
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the \\n-split lines of all rows, the empty ones too, and each line's row."""
+    breaks = np.flatnonzero(data == 10)
+    rows = np.searchsorted(offsets, breaks, "right") - 1
+    starts = np.concatenate([offsets[:-1], breaks + 1])
+    ends = np.concatenate([offsets[1:], breaks])
+    row = np.concatenate([np.arange(len(offsets) - 1), rows])
+    # a line's start pairs with the next end in the same row
+    a, b = np.lexsort((starts, row)), np.lexsort((ends, row))
+    return starts[a], ends[b], row[a]

@@ -40,9 +40,10 @@ def _repeated(w: Words, rows: int) -> np.ndarray:
         return np.zeros(rows, np.int64)
     row = np.repeat(np.arange(rows), np.diff(w.bounds))
     inside = row[2:] == row[:-2]
-    keys = mix(windows_hash(hashes, 3) + mix(row[:-2].astype(U)))
+    keys = mix(windows_hash(hashes, 3) + mix(row[:-2].astype(U)))[inside]
     _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    twice = (counts[back] > 1) & inside
+    twice = inside.copy()
+    twice[inside] = counts[back] > 1
     hit = np.zeros(len(hashes), bool)
     for j in range(3):
         hit[j : len(hashes) - 2 + j] |= twice

@@ -61,3 +61,9 @@ def test_odd(odd, none):
     out = clean(odd)
     assert out.columns == odd.columns and {r["doc_id"]: r["text"] for r in out.collect()} == cleaned
     assert quality(none).collect() == [] and clean(none).collect() == []
+
+
+def test_windows_end_with_their_row(spark):
+    rows = [(1, "a b c d a b", "h"), (2, "c x y z", "h"), (3, "a b c a b c", "h")]
+    out = quality(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)).collect()
+    assert {r["doc_id"]: r["n_repeat_words"] for r in out} == {1: 0, 2: 0, 3: 6}

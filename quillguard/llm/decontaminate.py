@@ -131,7 +131,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     per_item = named.groupBy("text_key").agg(F.count("*").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))
     per_text = s.save(per_text.join(per_item, "text_key"), "per_text")
     wide = docs.select(*[F.col(c).alias(f"q_{i}") for i, c in enumerate(docs.columns)], digest(F.col(text_col)).alias("text_key"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    out = wide.join(per_text, "text_key", "left").drop("text_key")
+    out = wide.join(per_text.hint("merge"), "text_key", "left").drop("text_key")
     zero = F.lit(0).cast("long")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", zero), "n_items": F.coalesce("n_items", zero), "items_sha256": F.coalesce("items_sha256", F.sha2(F.lit(""), 256))})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -166,7 +166,7 @@ def clean(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "
 
     wide = wide.mapInArrow(measure, fields)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    wide = wide.where(~failed).join(gone, ["host", "h1", "h2"], "left").where(F.coalesce("lost", F.lit(0)) <= rules.max_lost * F.col("n_words"))
+    wide = wide.where(~failed).join(gone.hint("merge"), ["host", "h1", "h2"], "left").where(F.coalesce("lost", F.lit(0)) <= rules.max_lost * F.col("n_words"))
     names = [f"c{i}" for i in range(len(rest))]
     out = wide.select(*names, "text", "gone").mapInArrow(_without, ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(rest)), "text string"]))
     back = {c: F.col(f"c{i}") for i, c in enumerate(rest)} | {text_col: F.col("text")}

@@ -26,6 +26,10 @@ from .scratch import Scratch
 from .text import U, Words, lower, mix, pieces, raw, whole_hash, windows_hash
 
 
+#: The most bands.
+BANDS = 64
+
+
 @dataclass(frozen=True)
 class NearDup:
     """shingle words make a shingle; texts are linked with 100 * intersection >= percent * union.
@@ -75,12 +79,13 @@ def signature(found: np.ndarray, p: NearDup) -> np.ndarray:
 
 
 def buckets(sig: np.ndarray, p: NearDup) -> np.ndarray:
-    """A 64-bit key of each band."""
+    """A 64-bit key of each band; the low bits are the band's number."""
     rows = sig.reshape(p.bands, p.rows)
-    out = np.arange(1, p.bands + 1, dtype=U)
+    band = np.arange(p.bands, dtype=U)
+    out = band + U(1)
     for j in range(p.rows):
         out = mix(out + rows[:, j])
-    return out
+    return out & ~U(BANDS - 1) | band
 
 
 def _signatures(p: NearDup):
@@ -130,11 +135,12 @@ def _similar(p: NearDup):
 
 
 def _close(p: NearDup, best: bool):
-    """Of (block, node, label, part, sig) sorted by block, pairs (a, b) of different labels with close signatures; with best, each row's closest only.
+    """Of (block, band, node, label, part, sig) sorted by block, pairs (a, b) of different labels with close signatures; with best, each row's closest only.
 
-    A block has the members of one part of a bucket, or of two parts, whose own pairs are tested elsewhere."""
+    A block has the members of one part of a bucket, or of two parts, whose own pairs are tested elsewhere.
+    A pair is told in the first band that the two share."""
 
-    def pairs(node, label, part, sig) -> list[tuple[int, int]]:
+    def pairs(band, node, label, part, sig) -> list[tuple[int, int]]:
         out, two = [], part.min() != part.max()
         for i in range(len(node)):
             first = 0 if best else i + 1
@@ -142,8 +148,11 @@ def _close(p: NearDup, best: bool):
             if len(rest):
                 same = np.count_nonzero(sig[rest] == sig[i], axis=1)
                 good = rest[same >= p.close * p.bins]
-                if best and len(good):
-                    good = rest[[same.argmax()]]
+                if len(good) and band:
+                    earlier = (sig[good] == sig[i])[:, : band * p.rows].reshape(len(good), band, p.rows).all(axis=2).any(axis=1)
+                    good = good[~earlier]
+                if best and len(good) > 1:
+                    good = good[[np.count_nonzero(sig[good] == sig[i], axis=1).argmax()]]
                 out += [(min(node[i], x), max(node[i], x)) for x in node[good]]
         return out
 
@@ -152,12 +161,12 @@ def _close(p: NearDup, best: bool):
 
         def closed(tables):
             t = pa.concat_tables(tables).combine_chunks()
-            block, node, label, part = (t.column(k).to_numpy() for k in range(4))
-            sig = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, p.bins)
+            block, band, node, label, part = (t.column(k).to_numpy() for k in range(5))
+            sig = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(-1, p.bins)
             at = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
             for x, y in zip(at, at[1:], strict=False):
                 if y - x > 1:
-                    found.extend(pairs(node[x:y], label[x:y], part[x:y], sig[x:y]))
+                    found.extend(pairs(int(band[x]), node[x:y], label[x:y], part[x:y], sig[x:y]))
 
         def out():
             done = pa.RecordBatch.from_pylist([{"a": int(x), "b": int(y)} for x, y in found], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -229,9 +238,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         part = F.pmod(F.xxhash64("node"), "m").cast("int")
         blocks = marked.join(open_keys, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         block = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block")
-        blocks = s.save(blocks.select("node", "label", "part", block), f"blocks-{k}")
+        blocks = s.save(blocks.select("node", "label", "part", F.col("key").bitwiseAND(BANDS - 1).cast("int").alias("band"), block), f"blocks-{k}")
         blocks = blocks.join(sigs.join(blocks.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node")
-        blocks = blocks.repartition("block").sortWithinPartitions("block").select("block", "node", "label", "part", "sig")
+        blocks = blocks.repartition("block").sortWithinPartitions("block").select("block", "band", "node", "label", "part", "sig")
         close = blocks.mapInArrow(_close(p, best), "a long, b long").distinct()
         close = s.save(close.join(pairs, ["a", "b"], "left_anti"), f"close-{k}")
         s.drop(f"marked-{k}", f"open-{k}", f"blocks-{k}")

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .quality import normal_lines
 from .scratch import Scratch
-from .text import U, mix, pieces, raw, runs_hash, spans_hash
+from .text import U, mix, pieces, raw, runs_hash, small, spans_hash
 
 #: Words of the shortest block that is removed.
 MIN_WORDS = 50
@@ -136,7 +136,7 @@ def _profile(min_words: int):
 
 def _aligned(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             earlier, later, words = (batch.column(k).to_pylist() for k in (2, 3, 4))
             gone = [common(*x, min_words) for x in zip(earlier, later, words, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["id", "hash", "gone"])
@@ -148,7 +148,7 @@ def _rewritten(text_at: int):
     """Of (..., hash, gone): the rows with the lines in gone taken out of the text, and what was removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             k = batch.num_columns - 1
             texts, n_lines, lost = batch.column(text_at).to_pylist(), [], []
             gone = batch.column(k).to_pylist()
@@ -210,7 +210,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
     wide = wide.mapInArrow(hashed, T.StructType([*fields, T.StructField("hash", T.LongType())]))
     own = F.col(f"q_{docs.columns.index(id_col)}").cast("long")
-    wide = wide.withColumn("id", own).join(gone, ["id", "hash"], "left").select(*[f.name for f in fields], "gone")
+    # one way at every size: texts are shuffled, whether the other side would fit a broadcast or not
+    wide = wide.withColumn("id", own).join(gone.hint("merge"), ["id", "hash"], "left").select(*[f.name for f in fields], "gone")
     extra = [T.StructField(n, T.LongType()) for n in ("n_lines", "removed_lines", "removed_words")]
     return wide.mapInArrow(_rewritten(at), T.StructType([*fields, *extra]))
 

@@ -60,6 +60,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
             begin = stop
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a few, for work on Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, null as empty, and the offsets of its rows."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -81,7 +81,7 @@ class RuleSet:
         return RuleSet(tuple(r for r in self.rules if (not include or r.name in include) and r.name not in exclude))
 
     def or_default(self) -> RuleSet:
-        """An empty set stands for all default rules, as the reference has it."""
+        """An empty set stands for all default rules."""
         return self if self.rules else RuleSet.default()
 
     def to_json(self) -> str:

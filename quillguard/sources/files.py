@@ -151,7 +151,7 @@ def read_files(spark: SparkSession, roots: list[str], files: FileFilter | None =
 def chunks(df: DataFrame, key: str, content: str, chunk: int = CHUNK_BYTES, carry: int = CARRY_BYTES, most: int = MAX_CHUNKS) -> DataFrame:
     """(key, chunk_no, chunk_start, content): content's bytes in chunks, each with the last of the one before.
 
-    At most `most` chunks; what lies beyond is not read, as the reference has it."""
+    At most `most` chunks are read; what lies beyond is left out."""
     data = F.col(content).cast("binary")
     n = F.ceil(F.octet_length(data) / chunk).cast("int")
     numbered = df.where(F.octet_length(data) > 0).select(key, data.alias("data"), F.explode(F.sequence(F.lit(0), F.least(n, F.lit(most)) - 1)).alias("chunk_no"))

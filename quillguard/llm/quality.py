@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text import U, Words, lines, lower, mix, pieces, raw, runs_hash, spans_hash, windows_hash
+from .text import U, Words, lines, lower, mix, pieces, raw, runs_hash, small, spans_hash, windows_hash
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str =
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (..., text, gone): the same rows, text without the lines whose hashes are in gone."""
-    for batch in batches:
+    for batch in small(batches):
         k = batch.num_columns - 2
         texts = batch.column(k).to_pylist()
         gone = batch.column(k + 1).to_pylist()

@@ -10,6 +10,8 @@ from ..cluster import ship
 
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_DIR = "/tmp/checkpoints"
+#: Lets the shuffle files of a written table go once it is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,11 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch to or from Python, where the session sets none: texts differ too much in length for a count of rows.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the session ready for Python workers."""
+    ship(spark)
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
 class Scratch:
     """Parquet tables of one operator call. They go when the application ends, or earlier by drop()."""
 
     def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         path, fs = self._at(self.root)
@@ -42,7 +55,13 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """df as a written table, read again."""
-        df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(name))
+        conf = self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(CLEANUP, before)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema) -> DataFrame:

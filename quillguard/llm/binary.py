@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship
-from .scratch import Scratch
+from .scratch import Scratch, prepare
 from .text import pieces
 from .tokens import encoder
 
@@ -41,7 +40,7 @@ def _encoded(path: str):
         e = encoder(path)
         ids, sizes = [], []
         for batch in pieces(batches):
-            values = [e.encode(x or "") for x in batch.column(1).to_pylist()]
+            values = e.encode_many([x or "" for x in batch.column(1).to_pylist()])
             ids += batch.column(0).to_pylist()
             sizes += [len(x) // e.dtype.itemsize + 1 for x in values]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
@@ -58,7 +57,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     """Write the ids of every whole text, in ascending order of the ids of documents, null ids first.
 
     A null text counts as empty. Rows with equal ids are all written, in the order of their texts' hashes."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = texts.withColumns({"h": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
@@ -92,7 +91,7 @@ def _read(dtype: str):
                 if not content.size:
                     continue
                 ids, docs, starts, null = file_parts(memoryview(content), dtype)
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(starts[:-1], starts[1:], strict=True)]
                 columns = [pa.array([batch.column(0)[k].as_py()] * len(docs), pa.string()), pa.array(docs.astype(np.int64), mask=null == 1), pa.array(starts[:-1].astype(np.int64)), pa.array(np.diff(starts).astype(np.int64)), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "id", "place", "n", "crc"])
 
@@ -101,7 +100,7 @@ def _read(dtype: str):
 
 def read_tokens(spark, path: str, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32) of each document of the files in path."""
-    ship(spark)
+    prepare(spark)
     s = Scratch(spark, "tokens")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     found = files.select(F.substring_index("path", "/", -1).alias("part"), "content")

@@ -131,7 +131,7 @@ def slots(groups: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
-def _cut(path: str, size: int, kind: pa.DataType):
+def _cut(path: str, size: int):
     """Pieces of (id, text): number, place and checksum, and the running number of its length in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +140,11 @@ def _cut(path: str, size: int, kind: pa.DataType):
         seen: Counter = Counter()
         for batch in pieces(batches):
             rows, names = defaultdict(list), ("row", "piece", "start", "length", "crc", "nth")
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(np.frombuffer(e.encode(text or ""), e.dtype), END_ID).astype("<u4")
+            for i, data in enumerate(e.encode_many([x or "" for x in batch.column(1).to_pylist()])):
+                ids = np.append(np.frombuffer(data, e.dtype), END_ID).astype("<u4")
                 for k, x in enumerate(range(0, len(ids), size)):
                     part = ids[x : x + size]
-                    for name, v in zip(names, (i, k, x, len(part), zlib.crc32(part.tobytes()), seen[len(part)]), strict=True):
+                    for name, v in zip(names, (i, k, x, len(part), zlib.crc32(part), seen[len(part)]), strict=True):
                         rows[name].append(v)
                     seen[len(part)] += 1
             n = len(rows["row"])
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, id_col: str = "d
     s = Scratch(docs.sparkSession, "packing")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    cut = s.save(texts.mapInArrow(_cut(tokenizer, size, None), f"id {kind}, piece int, start long, length long, crc long, nth long, task int"), "pieces")
+    cut = s.save(texts.mapInArrow(_cut(tokenizer, size), f"id {kind}, piece int, start long, length long, crc long, nth long, task int"), "pieces")
     by_task = s.save(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "by_task")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size rows at most
     table = slots(plan(counts, size))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: White space to str.split that a tokenizer's \s does not know; texts with it are encoded whole.
-_ODD = re.compile("[\x1c-\x1f]")
-#: Words kept in each of two generations, and the length of the longest.
-KEPT, LONGEST = 250_000, 40
+_ODD = "\x1c\x1d\x1e\x1f"
+#: A stop or comma that belongs to a run of signs.
+_SIGNS = re.compile(r"[.,](?<=[^\w\s].)|[.,](?<=_.)")
+#: Words kept at most, about 200 bytes each, before all are dropped; and the length of the longest.
+KEPT, LONGEST = 500_000, 40
 
 
 class Encoder:
@@ -26,49 +29,86 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if size <= 1 << 16 else "I"  # as array.array has them on machines of this byte order
         self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.exact = exact
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        same = lambda a, b: self._ids([a]) == self._ids([b])
+        self.lowers = same("Ab É ÿ", "ab é ÿ")
+        self.signs_apart = same("ab, b. 5, é.", "ab , b . 5 , é .")
+        self.kept: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:  # whether a token ends a word
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that aren't kept; the part before a final stop or comma is looked up apart."""
-        bases = {w: w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() else w for w in words}
-        wanted = {b.lower() if b.isascii() else b for b in bases.values()} | {w[-1] for w, b in bases.items() if b is not w}
-        known = {}
-        for w in wanted:
-            if (x := self.new.get(w) or self.old.get(w)) is not None:
-                known[w] = x
-        missing = [w for w in wanted if w not in known]
-        known.update(zip(missing, self._ids(missing), strict=True))
-        out = {}
-        for w, b in bases.items():
-            x = known[b.lower() if b.isascii() else b]
-            out[w] = x if b is w else x + known[w[-1]]
-        for w, x in (*out.items(), *((w, known[w]) for w in missing)):
-            if len(w) <= LONGEST:
-                self.new[w] = x
-        return out
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. Words of letters alone are encoded as one text, where each ends with a
+        token that ends a word."""
+        plain = [w for w in words if w.isalpha()] if self.ends is not None else []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
+        at = np.flatnonzero(self.ends[ids]) + 1 if len(plain) else []
+        if len(at) != len(plain):
+            return self._ids(words)
+        data, width = ids.tobytes(), self.dtype.itemsize
+        stops = (np.asarray(at) * width).tolist()
+        known = dict(zip(plain, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+        rest = [w for w in words if w not in known]
+        known.update(zip(rest, self._ids(rest), strict=True))
+        return [known[w] for w in words]
+
+    def _split(self, text: str) -> list[str] | None:
+        """Parts of a text that are encoded apart, fewer different ones than its words; None if it has to be taken whole."""
+        if self.exact or any(c in text for c in _ODD) or "<|" in text and self.special.search(text):
+            return None
+        # characters of Latin-1 lower-case one by one and need no composition
+        if self.lowers and len(text.encode("latin-1", "ignore")) == len(text):
+            text = text.lower()
+        if self.signs_apart and not _SIGNS.search(text):
+            text = text.replace(",", " ,").replace(".", " .")
+        return text.split()
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, in dtype's bytes, without special tokens added."""
+        kept = self.kept
+        if len(kept) > KEPT:
+            kept.clear()
+        out: list[list[bytes]] = []
+        gaps: list[tuple[list[bytes], list[str], list[int]]] = []
+        new: set[str] = set()
+        for text in texts:
+            words = self._split(text)
+            found = self._ids([text]) if words is None else list(map(kept.get, words))
+            out.append(found)
+            if words and None in found:
+                places = [i for i, x in enumerate(found) if x is None]
+                new.update([words[i] for i in places])
+                gaps.append((found, words, places))
+        if new:
+            missing = list(new)
+            kept.update(zip(missing, self._each(missing), strict=True))
+        for found, words, places in gaps:
+            for i in places:
+                found[i] = kept[words[i]]
+        for w in new:
+            if len(w) > LONGEST:
+                del kept[w]
+        return [b"".join(x) for x in out]
 
     def encode(self, text: str) -> bytes:
-        """The ids of text, in dtype's bytes, without special tokens added."""
-        if self.exact or _ODD.search(text) or "<|" in text and self.special.search(text):
-            return self._ids([text])[0]
-        words = text.split()
-        new, old = self.new, self.old
-        out = [new.get(w) or old.get(w) for w in words]
-        if None in out:
-            learnt = self._learn(list({w for w, x in zip(words, out, strict=True) if x is None}))
-            out = [learnt[w] if x is None else x for w, x in zip(words, out, strict=True)]
-            if len(self.new) > KEPT:
-                self.old, self.new = self.new, {}
-        return b"".join(out)
+        return self.encode_many([text])[0]
 
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker."""
     return Encoder(path)
+
+
+def forget() -> None:
+    """Drop the words that this Python worker keeps; for operators that it runs next."""
+    encoder.cache_clear()

@@ -43,7 +43,7 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(_read(spark, sf_dir, "pages"))
+    return archive(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,18 @@ QUERIES = {
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op1_minhash": f"""
+with recursive w as (select doc_id, list_filter(string_split_regex({_FOLD.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+    s as (select distinct doc_id, array_to_string(w[x : x + 3], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as x from w where len(w) > 0)),
+    c as (select doc_id, count(*) as n from s group by doc_id),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+    e as (select p.a, p.b from p join c x on x.doc_id = p.a join c y on y.doc_id = p.b where 100 * k >= 80 * (x.n + y.n - k)),
+    ends as (select a, b from e union all select b, a from e),
+    r(node, label) as (select doc_id, doc_id from documents union select ends.b, r.label from r join ends on r.node = ends.a),
+    l as (select node, min(label) as label from r group by node)
+select d.doc_id, coalesce(c.n, 0)::bigint as n_shingles, l.label as component_id, d.doc_id = l.label as kept
+from documents d join l on l.node = d.doc_id left join c on c.doc_id = d.doc_id
+""",
     "op4_shards": """
 with d as (select doc_id, coalesce(strlen(text), 0)::bigint as n_bytes,
         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h from documents),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from .scratch import prepare
 from .text import U, Words, lower, mix, pieces, raw, spans_hash
 
 #: Bytes between words: all ASCII but letters and digits, after lower-casing.
@@ -36,10 +36,10 @@ class Training:
     z: the least score, in standard deviations, by which a feature is more frequent in documents of
     label 1 for it to get a weight; the rest have none."""
 
-    max_docs: int = 6000
+    max_docs: int = 12_000
     bits: int = 18
-    z: float = 4.0
-    steps: int = 200
+    z: float = 5.0
+    steps: int = 300
     rate: float = 0.1
     l2: float = 1e-5
 
@@ -82,26 +82,32 @@ def fit(texts: list[str], labels: np.ndarray, t: Training) -> tuple[np.ndarray,
     weights = np.zeros(1 << t.bits, np.float32)
     if not len(labels) or labels.min() == labels.max():
         return weights, 5.0 if len(labels) and labels[0] else -5.0
-    sets, df, rows = [], np.zeros((2, 1 << t.bits)), np.bincount(labels, minlength=2)
-    for text, y in zip(texts, labels, strict=True):
-        data, offsets = raw(pa.array([text], pa.string()))
-        sets.append(features(data, offsets, t.bits))
-        df[y, np.unique(sets[-1][0])] += 1
-    # of the features only those that are clearly more frequent in documents of label 1
+    # the document frequency of each feature, then the clearly more frequent ones of label 1; a piece at a time
+    df, rows = np.zeros((2, 1 << t.bits)), np.bincount(labels, minlength=2)
+    whole = pa.RecordBatch.from_arrays([pa.array(labels), pa.array(texts, pa.string())], ["y", "text"])
+    for piece in pieces(iter([whole])):
+        y = piece.column(0).to_numpy()
+        found, inside, of = features(*raw(piece.column(1)), t.bits)
+        seen = np.unique((of[inside] << t.bits) + found)
+        for k in (0, 1):
+            df[k] += np.bincount((seen & ((1 << t.bits) - 1))[y[seen >> t.bits] == k], minlength=1 << t.bits)
     share = df.sum(axis=0) / len(labels)
     z = (df[1] / rows[1] - df[0] / rows[0]) / np.sqrt(share * (1 - share) * (1 / rows[0] + 1 / rows[1]) + 1e-12)
     good = np.flatnonzero(z >= t.z)
     place = np.full(1 << t.bits, -1)
     place[good] = np.arange(len(good))
-    sizes = np.cumsum([0, *(len(x[2]) for x in sets)])
-    found = np.concatenate([place[x[0]] for x in sets])
-    inside = np.concatenate([x[1] + n for x, n in zip(sets, sizes, strict=False)])[found >= 0]
-    found, of = found[found >= 0], np.repeat(np.arange(len(sets)), np.diff(sizes))
+    parts, n_rows, n_sentences = [], 0, 0
+    for piece in pieces(iter([whole])):
+        found, inside, of = features(*raw(piece.column(1)), t.bits)
+        keep = place[found] >= 0
+        parts.append((place[found[keep]], inside[keep] + n_sentences, of + n_rows))
+        n_rows, n_sentences = n_rows + piece.num_rows, n_sentences + len(of)
+    found, inside, of = (np.concatenate(x) for x in zip(*parts, strict=True))
     w, m, v = np.append(np.zeros(len(good)), -5.0), np.zeros(len(good) + 1), np.zeros(len(good) + 1)
     for step in range(1, t.steps + 1):
         s = np.bincount(inside, w[found], len(of)) + w[-1]
-        q = np.maximum(np.bincount(of, np.logaddexp(0, s), len(sets)), 1e-12)
-        by_q = np.where(labels == 1, -np.exp(-q) / -np.expm1(-q), 1.0) / len(sets)
+        q = np.maximum(np.bincount(of, np.logaddexp(0, s), n_rows), 1e-12)
+        by_q = np.where(labels == 1, -np.exp(-q) / -np.expm1(-q), 1.0) / n_rows
         by_s = by_q[of] / (1 + np.exp(-np.clip(s, -50, 50)))
         g = np.append(np.bincount(found, by_s[inside], len(good)) + t.l2 * w[:-1], by_s.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -155,7 +161,7 @@ def toxicity(docs: DataFrame, model, t: Training = Training(), id_col: str = "do
 
     A null text counts as empty and gets the score of one sentence without words, whatever a null id
     or further columns. Equal rows get equal scores. An empty table gives none."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {texts.schema['id'].dataType.simpleString()}, score double" + ", sentences array<struct<start:long,end:long,score:double>>" * sentences
     return texts.mapInArrow(_scored(*model, t.bits, sentences), schema).withColumnRenamed("id", id_col)

@@ -12,7 +12,7 @@ to right, starting and ending at the end token; all texts of a block take their
 
 No machine holds the model. Texts are dealt into blocks of bounded bytes. Each block sends its
 distinct words and bigrams, with its own counts, to the shard of their hash; a shard adds them up
-and answers every block that asked, leaving out counts that the block has alone. A block then has
+and answers every block that asked, by place in its list, leaving out counts that the block has alone. A block then has
 all arcs that its texts can take, and builds its part of the automaton from them.
 """
 
@@ -30,7 +30,7 @@ from .scratch import Scratch
 from .text import U, Words, lower, mix, pieces, raw
 
 #: Bytes of text in a block, and of all text for each shard of the counts.
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 12 << 20
+BLOCK_BYTES, SHARD_BYTES = 2 << 20, 6 << 20
 #: Weight of the root's probabilities at every state, in counts.
 MU = 500.0
 #: The end token's hash, and the block of the shards' totals.
@@ -48,6 +48,26 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=U), counts.astype(np.int64)
 
 
+def _pack_some(keep: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counts of the kept places of a list, whose keys the receiver has."""
+    return np.packbits(keep).tobytes() + counts[keep].astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack_some(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Kept places among n, and their counts."""
+    size = -(-n // 8)
+    keep = np.unpackbits(np.frombuffer(data, np.uint8, size), count=n).astype(bool)
+    counts = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=size).reshape(8, -1).T).view("<u8").reshape(-1)
+    return keep, counts.astype(np.int64)
+
+
+def _shards(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[int]]:
+    """The shards that sorted keys belong to, and where each begins and the last ends."""
+    shards = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    some = np.unique(shards)
+    return some, np.append(np.searchsorted(shards, some), len(shards)).tolist()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block number for each row of (id, text, train), by bytes within the task."""
     block, size = TaskContext.get().partitionId() << 32, 0
@@ -87,18 +107,19 @@ def _asked(bits: int):
     """Of (block, texts) the distinct words and bigrams with counts, packed for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(block: int, tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+        schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("order", pa.int32()), ("data", pa.binary())])
+
+        def out(block: int, tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(tables).combine_chunks()
             tokens = Tokens(t.column("text").combine_chunks())
             train = t.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            rows = []
-            for order, keys in ((1, tokens.hashes), (2, tokens.pairs)):
-                found, _, n = tokens.own(train, keys)
-                shards = (found >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
-                at = np.searchsorted(shards, np.arange((1 << bits) + 1))
-                for k in np.unique(shards):
-                    rows.append({"shard": int(k), "block": block, "order": order, "data": _pack(found[at[k] : at[k + 1]], n[at[k] : at[k + 1]])})
-            return pa.RecordBatch.from_pylist(rows, pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("order", pa.int32()), ("data", pa.binary())]))
+            for order in (1, 2):
+                found, _, n = tokens.own(train, tokens.hashes if order == 1 else tokens.pairs)
+                some, at = _shards(found, bits)
+                for k in range(0, len(some), 64):
+                    data = [_pack(found[a:b], n[a:b]) for a, b in zip(at[k : k + 64], at[k + 1 : k + 65], strict=False)]
+                    size = len(data)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 64], pa.int32()), pa.array([block] * size, pa.int64()), pa.array([order] * size, pa.int32()), pa.array(data, pa.binary())], schema=schema)
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -106,12 +127,12 @@ def _asked(bits: int):
             at = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1), len(blocks)]
             for a, b in zip(at, at[1:], strict=False):
                 if held and held[0].column(3)[0].as_py() != blocks[a]:
-                    yield out(held[0].column(3)[0].as_py(), held)
+                    yield from out(held[0].column(3)[0].as_py(), held)
                     held = []
                 if b > a:
                     held.append(batch.slice(a, b - a))
         if held:
-            yield out(held[0].column(3)[0].as_py(), held)
+            yield from out(held[0].column(3)[0].as_py(), held)
 
     return run
 
@@ -119,8 +140,15 @@ def _asked(bits: int):
 def _answered(table: pa.Table) -> pa.Table:
     """For one shard and order: to each block the counts of its keys, where others have some too."""
     order = table.column("order")[0].as_py()
-    blocks = table.column("block").to_numpy()
-    got = [_unpack(x.as_py()) for x in table.column("data")]
+    lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for block, data in zip(table.column("block").to_pylist(), table.column("data"), strict=True):
+        keys, own = _unpack(data.as_py())
+        if block in lists:  # a block that two tasks have read; places are those in its whole list
+            keys, back = np.unique(np.concatenate([lists[block][0], keys]), return_inverse=True)
+            own = np.bincount(back, np.concatenate([lists[block][1], own]), len(keys)).astype(np.int64)
+        lists[block] = keys, own
+    blocks, got = list(lists), list(lists.values())
+    del lists
     keys = np.concatenate([k for k, _ in got])
     own = np.concatenate([n for _, n in got])
     row = np.repeat(np.arange(len(got)), [len(k) for k, _ in got])
@@ -132,16 +160,19 @@ def _answered(table: pa.Table) -> pa.Table:
     sums = np.add.reduceat(own[by], at)
     totals = np.empty_like(own)
     totals[by] = np.repeat(sums, np.diff(np.append(at, len(by))))
-    rows = []
-    keep = totals != own
-    keys, totals, row = keys[keep], totals[keep], row[keep]
+    shard, keep = table.column("shard")[0].as_py(), totals != own
     ends = np.searchsorted(row, np.arange(len(blocks) + 1))
+    rows = []
     for k, block in enumerate(blocks):
-        if ends[k + 1] > ends[k]:
-            rows.append({"block": int(block), "order": order, "data": _pack(keys[ends[k] : ends[k + 1]], totals[ends[k] : ends[k + 1]]), "n": 0, "v": 0})
+        here = slice(ends[k], ends[k + 1])
+        if keep[here].any():
+            rows.append({"block": int(block), "shard": shard, "order": order, "data": _pack_some(keep[here], totals[here]), "n": 0, "v": 0})
     if order == 1:
-        rows.append({"block": TOTALS, "order": 0, "data": b"", "n": int(sums.sum()), "v": int((sums > 0).sum())})
-    return pa.Table.from_pylist(rows, pa.schema([("block", pa.int64()), ("order", pa.int32()), ("data", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]))
+        rows.append({"block": TOTALS, "shard": shard, "order": 0, "data": b"", "n": int(sums.sum()), "v": int((sums > 0).sum())})
+    return pa.Table.from_pylist(rows, ANSWER)
+
+
+ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("order", pa.int32()), ("data", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 
 
 class Automaton:
@@ -182,7 +213,7 @@ class Automaton:
         return out
 
 
-def _scored(n: int, v: int, mu: float, kind: pa.DataType):
+def _scored(n: int, v: int, mu: float, bits: int):
     names = ["id", "train", "n_tokens", "n_known", "base_score", "score"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -190,14 +221,15 @@ def _scored(n: int, v: int, mu: float, kind: pa.DataType):
         text = left.column("text").combine_chunks() if left.num_rows else pa.array([], pa.string())
         tokens = Tokens(text)
         train = left.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        answers = {1: [], 2: []}
-        for order, data in zip(right.column("order").to_pylist(), right.column("data"), strict=True):
-            answers[order].append(_unpack(data.as_py()))
+        answers = dict(zip(zip(right.column("order").to_pylist(), right.column("shard").to_pylist(), strict=True), right.column("data"), strict=True))
         found = {}
         for order, keys in ((1, tokens.hashes), (2, tokens.pairs)):
             distinct, back, count = tokens.own(train, keys)
-            for k, c in answers[order]:
-                count[np.searchsorted(distinct, k)] = c
+            some, at = _shards(distinct, bits)
+            for shard, a, b in zip(some.tolist(), at[:-1], at[1:], strict=True):
+                if (data := answers.get((order, shard))) is not None:
+                    keep, counts = _unpack_some(data.as_py(), b - a)
+                    count[a:b][keep] = counts
             found[order] = distinct, back, count
         distinct, word, count = found[1]
         _, pair, pair_count = found[2]
@@ -234,9 +266,9 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (size // SHARD_BYTES).bit_length())
     asked = texts.mapInArrow(_asked(bits), "shard int, block long, order int, data binary")
-    answers = asked.repartition(1 << bits, "shard", "order").groupBy("shard", "order").applyInArrow(_answered, "block long, order int, data binary, n long, v long")
+    answers = asked.groupBy("shard", "order").applyInArrow(_answered, "block long, shard int, order int, data binary, n long, v long")
     answers = s.save(answers, "answers")
     n, v = answers.where(F.col("block") == TOTALS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    blocks = answers.where(F.col("block") != TOTALS).select("block", "order", "data")
-    out = texts.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_scored(n, v, mu, None), f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    blocks = answers.where(F.col("block") != TOTALS).select("block", "shard", "order", "data")
+    out = texts.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_scored(n, v, mu, bits), f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

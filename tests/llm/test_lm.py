@@ -55,6 +55,31 @@ def test_brute_force(docs, sample, monkeypatch, block, shard):
     check(docs, [(i, t) for i, t, _ in sample])
 
 
+def test_blocks_that_several_tasks_read(spark, docs, sample, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 10**9)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 5000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("parquet.block.size", "1024")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        check(docs.coalesce(1), [(i, t) for i, t, _ in sample])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        for k in ("parquet.block.size", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(k)
+
+
+def test_a_block_in_two_lists():
+    import pyarrow as pa
+
+    a, b, c = (np.array(x, np.uint64) for x in ([1, 5], [5, 9], [9]))
+    one = lambda x: np.ones(len(x), np.int64)
+    rows = [{"shard": 0, "block": k, "order": 2, "data": lm._pack(x, one(x))} for k, x in ((7, a), (7, b), (8, c))]
+    out = lm._answered(pa.Table.from_pylist(rows)).to_pylist()
+    assert [(r["block"], *(x.tolist() for x in lm._unpack_some(r["data"], n))) for r, n in zip(out, (3, 1), strict=True)] == [(7, [False, False, True], [2]), (8, [True], [2])]
+
+
 def test_odd(odd, none):
     check(odd, [(r["doc_id"], r["text"]) for r in odd.collect()])
     assert lm.lm_scores(none, _part(5) != 1).collect() == []
@@ -86,6 +111,9 @@ def test_packing():
     counts = np.arange(len(keys))
     k, c = lm._unpack(lm._pack(keys, counts))
     assert (k == keys).all() and (c == counts).all()
+    keep = counts % 3 == 1
+    some, c = lm._unpack_some(lm._pack_some(keep, counts), len(counts))
+    assert (some == keep).all() and (c == counts[keep]).all()
 
 
 def test_held_out_text_is_more_likely_than_by_words_alone(spark):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .scratch import Scratch
 from .text import U, Words, lower, mix, pieces, raw, whole_hash, windows_hash
+from .tokens import forget
 
 
 #: The most bands.
@@ -90,6 +91,7 @@ def buckets(sig: np.ndarray, p: NearDup) -> np.ndarray:
 
 def _signatures(p: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches):
             data, offsets = raw(batch.column(1))
             w = Words(lower(data), offsets)
@@ -209,8 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = s.save(groups, "groups")
     nodes = s.save(groups.groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h")).select("node", "h.h1", "h.h2"), "nodes")
     own = sig.where("n > 0").select(F.col("id").alias("node"), "h1", "h2", "sig", "bands")
-    rows = own.join(nodes, ["node", "h1", "h2"], "left_semi").select("node", F.explode("bands").alias("key")).distinct()
-    rows = s.save(rows, "rows")
+    own = own.join(nodes, ["node", "h1", "h2"], "left_semi").dropDuplicates(["node", "h1", "h2"])
+    rows = s.save(own.select("node", F.explode("bands").alias("key")), "rows")
     full = s.save(rows.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last"), "full")
     stars = s.save(rows.join(full.select("key", "centre"), "key"), "stars")
     s.drop("rows", "full")
@@ -229,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = s.save(stars.where("node > centre").groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b")), "pairs")
     links = confirmed(pairs, "star")
     labels = components(links, s, "star")
-    sigs = own.join(nodes, ["node", "h1", "h2"], "left_semi").select("node", "sig")
+    sigs = own.select("node", "sig")
     # first each member's closest partner, which joins most of what the star has left apart, then all close pairs of the rest
     for k, best in (("best", True), ("rest", False)):
         marked = s.save(stars.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), f"marked-{k}")
@@ -239,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         blocks = marked.join(open_keys, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         block = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block")
         blocks = s.save(blocks.select("node", "label", "part", F.col("key").bitwiseAND(BANDS - 1).cast("int").alias("band"), block), f"blocks-{k}")
-        blocks = blocks.join(sigs.join(blocks.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node")
+        blocks = blocks.join(sigs.join(blocks.select("node").distinct(), "node", "left_semi"), "node")
         blocks = blocks.repartition("block").sortWithinPartitions("block").select("block", "band", "node", "label", "part", "sig")
         close = blocks.mapInArrow(_close(p, best), "a long, b long").distinct()
         close = s.save(close.join(pairs, ["a", "b"], "left_anti"), f"close-{k}")

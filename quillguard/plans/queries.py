@@ -201,8 +201,6 @@ def _native(rule: str):
 
 def _native_sql(rule: str) -> str:
     spans = _spans_sql("documents", [(0, _RULE[rule])])
-    head = "array_to_string(list_slice(string_split(text, ''), 1, 0), '')"
-    del head
     return f"""with s as ({spans}),
     t as (select s.*, d.text, encode(d.text) as b from s join documents d using (doc_id)),
     h as (select *, decode(b[1:start]) as head from t)

@@ -64,14 +64,13 @@ class FileFilter:
     def condition(self, path: Column, size: Column, roots: tuple[str, ...] = ()) -> Column:
         """On a file's path, without scheme, and bytes. Directory names count from the root on."""
         keep = size.between(1, self.max_bytes)
-        below, prefix = path, ""
+        below = path
         for root in roots:
             parent = root.rstrip("/").rpartition("/")[0]
             below = F.when(F.startswith(path, F.lit(parent + "/")), F.substring(path, len(parent) + 2, 1 << 30)).otherwise(below)
-        parts = F.split(F.regexp_replace(below, F.lit("/[^/]*$"), F.lit("")), "/") if prefix == "" else None
-        has_dir = F.contains(below, F.lit("/"))
         if self.skip_dirs:
-            keep &= ~(has_dir & F.arrays_overlap(parts, F.array(*map(F.lit, self.skip_dirs))))
+            dirs = F.split(F.regexp_replace(below, F.lit("/[^/]*$"), F.lit("")), "/")
+            keep &= ~(F.contains(below, F.lit("/")) & F.arrays_overlap(dirs, F.array(*map(F.lit, self.skip_dirs))))
         ext = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
         keep &= ext.isin(*self.only_exts) if self.only_exts else ~ext.isin(*self.skip_exts) if self.skip_exts else F.lit(True)
         for p in self.skip_paths:

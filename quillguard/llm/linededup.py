@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from .quality import normal_lines
 from .scratch import Scratch
 from .text import U, mix, pieces, raw, runs_hash, small, spans_hash
+from .tokens import forget
 
 #: Words of the shortest block that is removed.
 MIN_WORDS = 50
@@ -108,6 +109,7 @@ def _profile(min_words: int):
     """Of (id, text): a hash of the text, its lines' hashes and words, and the distinct keys of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches):
             data, offsets = raw(batch.column(1))
             _, _, row, line, words = normal_lines(data, offsets)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .text import U, Words, lines, lower, mix, pieces, raw, runs_hash, small, spans_hash, windows_hash
+from .tokens import forget
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,7 @@ def normal_lines(data: np.ndarray, offsets: np.ndarray):
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (id, text, host): statistics, two hashes of the text, and its distinct lines with their words in all."""
+    forget()
     for batch in pieces(batches):
         rows = batch.num_rows
         data, offsets = raw(batch.column(1))

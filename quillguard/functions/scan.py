@@ -55,6 +55,14 @@ _NAME, _ADDRESS, _URL = to_bytes(SOFT_NAME), to_bytes(SOFT_ADDRESS), to_bytes(UR
 _SHAPES = tuple(to_bytes(p) for p in PLAIN_SHAPES)
 _COMMENTS = tuple(p.encode() for p in COMMENT_PREFIXES)
 _DIGITS = re.compile(rb"[0-9]{2}")
+#: What lower-cased texts need for default rules of which anchors() and digits tell nothing.
+_NEEDS = {
+    "mac_address": rb"[0-9a-f]{2}[:-]",
+    "ipv6_address": rb":[0-9a-f]{1,4}:",
+    "ipv4_address": rb"[0-9]\.[0-9]",
+    "credit_card_mastercard": rb"[0-9]{4}",
+}
+_LITERALS = {"generic_assignment_secret": ("passw", "secret", "token", "api", "auth"), "drivers_license_us": ("dl", "driver")}
 #: Letters that match k and s without being ASCII; texts with them are not passed over by literals.
 _FOLDED = ("K".encode(), "ſ".encode())
 
@@ -77,7 +85,10 @@ class Matcher:
     """A rule set ready for scanning: rules whose literals a text lacks are passed over."""
 
     def __init__(self, rules: RuleSet):
-        self.rules = [(r, tuple(a.encode() for a in anchors(r.pattern)), self._digits(r)) for r in rules.or_default()]
+        default = {r.name: r.pattern for r in RuleSet.default()}
+        known = lambda r: _LITERALS.get(r.name, ()) if default.get(r.name) == r.pattern else ()
+        self.rules = [(r, tuple(a.encode() for a in anchors(r.pattern) or known(r)), self._digits(r)) for r in rules.or_default()]
+        self.needs = {r.name: re.compile(_NEEDS[r.name]) for r, _, _ in self.rules if r.name in _NEEDS and default[r.name] == r.pattern}
 
     @staticmethod
     def _digits(rule: Rule) -> bool:
@@ -99,6 +110,8 @@ class Matcher:
         for r, literals, needs_digits in self.rules:
             if needs_digits and not digits or literals and not folded and not any(x in low for x in literals):
                 continue
+            if r.name in self.needs and not folded and not self.needs[r.name].search(low):
+                continue
             for m in r.compiled.finditer(text):
                 if m.start(r.group) >= 0:
                     out.append(Span(m.start(r.group), m.end(r.group), r.name, r.type))

@@ -137,12 +137,13 @@ def _similar(p: NearDup):
 
 
 def _close(p: NearDup, best: bool):
-    """Of (block, band, node, label, part, sig) sorted by block, pairs (a, b) of different labels with close signatures; with best, each row's closest only.
+    """Of (block, band, node, label, part, sig, keys) sorted by block, pairs (a, b) of different labels with close signatures; with best, each row's closest only.
 
     A block has the members of one part of a bucket, or of two parts, whose own pairs are tested elsewhere.
-    A pair is told in the first band that the two share."""
+    A pair is told in the first band whose bucket the two share, by the buckets' own keys: bytes of a
+    signature may agree where the keys differ. keys has a 64-bit key for each band."""
 
-    def pairs(band, node, label, part, sig) -> list[tuple[int, int]]:
+    def pairs(band, node, label, part, sig, keys) -> list[tuple[int, int]]:
         out, two = [], part.min() != part.max()
         for i in range(len(node)):
             first = 0 if best else i + 1
@@ -151,7 +152,7 @@ def _close(p: NearDup, best: bool):
                 same = np.count_nonzero(sig[rest] == sig[i], axis=1)
                 good = rest[same >= p.close * p.bins]
                 if len(good) and band:
-                    earlier = (sig[good] == sig[i])[:, : band * p.rows].reshape(len(good), band, p.rows).all(axis=2).any(axis=1)
+                    earlier = (keys[good, :band] == keys[i, :band]).any(axis=1)
                     good = good[~earlier]
                 if best and len(good) > 1:
                     good = good[[np.count_nonzero(sig[good] == sig[i], axis=1).argmax()]]
@@ -165,10 +166,11 @@ def _close(p: NearDup, best: bool):
             t = pa.concat_tables(tables).combine_chunks()
             block, band, node, label, part = (t.column(k).to_numpy() for k in range(5))
             sig = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(-1, p.bins)
+            keys = t.column(6).combine_chunks().flatten().to_numpy().reshape(-1, p.bands)
             at = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
             for x, y in zip(at, at[1:], strict=False):
                 if y - x > 1:
-                    found.extend(pairs(int(band[x]), node[x:y], label[x:y], part[x:y], sig[x:y]))
+                    found.extend(pairs(int(band[x]), node[x:y], label[x:y], part[x:y], sig[x:y], keys[x:y]))
 
         def out():
             done = pa.RecordBatch.from_pylist([{"a": int(x), "b": int(y)} for x, y in found], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -231,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = s.save(stars.where("node > centre").groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b")), "pairs")
     links = confirmed(pairs, "star")
     labels = components(links, s, "star")
-    sigs = own.select("node", "sig")
+    sigs = own.select("node", "sig", "bands")
     # first each member's closest partner, which joins most of what the star has left apart, then all close pairs of the rest
     for k, best in (("best", True), ("rest", False)):
         marked = s.save(stars.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), f"marked-{k}")
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         block = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block")
         blocks = s.save(blocks.select("node", "label", "part", F.col("key").bitwiseAND(BANDS - 1).cast("int").alias("band"), block), f"blocks-{k}")
         blocks = blocks.join(sigs.join(blocks.select("node").distinct(), "node", "left_semi"), "node")
-        blocks = blocks.repartition("block").sortWithinPartitions("block").select("block", "band", "node", "label", "part", "sig")
+        blocks = blocks.repartition("block").sortWithinPartitions("block").select("block", "band", "node", "label", "part", "sig", "bands")
         close = blocks.mapInArrow(_close(p, best), "a long, b long").distinct()
         close = s.save(close.join(pairs, ["a", "b"], "left_anti"), f"close-{k}")
         s.drop(f"marked-{k}", f"open-{k}", f"blocks-{k}")

@@ -64,6 +64,19 @@ def test_dense_group_and_blocks(spark):
     assert got(near_duplicates(df, params=NearDup(block=16))) == brute(rows)
 
 
+def test_pair_whose_bytes_agree_in_an_earlier_band(spark):
+    """1 is the star's centre and too far from 2 and 3, whose signature bytes agree in band 0 while their first bucket is band 3's."""
+    rng, base, rows = random.Random(1692), [f"b{k}" for k in range(150)], []
+    for i, changes in ((1, 6), (2, 3), (3, 3)):
+        words = list(base)
+        for _ in range(changes):
+            words[rng.randrange(150)] = f"z{rng.randrange(10**7)}"
+        rows.append((i, " ".join(words)))
+    expected = brute(rows)
+    assert [c for _, c in expected.values()] == [1, 2, 2]
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == expected
+
+
 def test_test_data(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert got(near_duplicates(df)) == brute([(r["doc_id"], r["text"]) for r in df.collect()])

@@ -7,7 +7,8 @@ first one, by id, that has a key of its, so a passage that very many documents s
 for each and not for any two of them. A pair is aligned by patience diff: lines that occur once in
 both, the longest ascending run of them, and so on between those. Aligned blocks of min_words words
 or more are removed from the later document; what is left of it is aligned again, as a block may
-have moved. The first document of a passage keeps it.
+have moved. A block that crosses the alignment of shorter ones is looked up by its runs, so that none
+is left. The first document of a passage keeps it.
 """
 
 from __future__ import annotations
@@ -83,8 +84,50 @@ def _matches(a: list, b: list, a0: int, a1: int, b0: int, b1: int, out: list) ->
                 out.append((i, j))
 
 
+def _runs(lines: list, places: list[int], size, min_words: int):
+    """For each run of consecutive places from which on there are min_words words: its first place, and the fewest lines of them."""
+    at = 0
+    while at < len(places):
+        end = at + 1
+        while end < len(places) and places[end] == places[end - 1] + 1:
+            end += 1
+        b, total = at, 0
+        for a in range(at, end):
+            while b < end and total < min_words:
+                total += size(places[b])
+                b += 1
+            if total < min_words:
+                break
+            yield places[a], tuple(lines[places[a] : places[b - 1] + 1])
+            total -= size(places[a])
+        at = end
+
+
+def _crossing(earlier: list, later: list, left: list[int], words: list, min_words: int) -> set[int]:
+    """Places of later, out of left, in blocks of min_words words or more that earlier has anywhere, in whatever order."""
+    has = set(earlier)
+    mine = dict(_runs(later, [j for j in left if later[j] in has], words.__getitem__, min_words))
+    if not mine:
+        return set()
+    n = {later[j]: words[j] for j in left}
+    wanted, starts = set(mine.values()), {}
+    for i, run in _runs(earlier, [i for i, x in enumerate(earlier) if x in n], lambda i: n[earlier[i]], min_words):
+        if run in wanted:
+            starts.setdefault(run, []).append(i)
+    rest, gone, end = set(left), set(), -1
+    for j, run in mine.items():
+        if j >= end and run in starts:
+            size, at = len(run), starts[run]
+            while j + size in rest and (longer := [i for i in at if i + size < len(earlier) and earlier[i + size] == later[j + size]]):
+                size, at = size + 1, longer
+            end = j + size
+            gone.update(range(j, end))
+    return gone
+
+
 def common(earlier: list, later: list, words: list, min_words: int = MIN_WORDS) -> list[int]:
-    """Places of later in aligned blocks, of consecutive lines in both, of min_words words or more."""
+    """Places of later in blocks, of consecutive lines in both, of min_words words or more: aligned ones first,
+    then those that cross the alignment, until no such block is left."""
     gone: set[int] = set()
     left = list(range(len(later)))
     while left:
@@ -98,6 +141,7 @@ def common(earlier: list, later: list, words: list, min_words: int = MIN_WORDS)
                     new.update(places)
                 block = []
             block.append((i, k))
+        new = new or _crossing(earlier, later, left, words, min_words)
         if not new:
             break
         gone |= new

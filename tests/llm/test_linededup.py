@@ -33,6 +33,22 @@ def test_common_finds_planted_blocks():
         assert set(range(j, j + len(block))) <= set(got)
 
 
+def test_common_finds_blocks_that_cross_shorter_ones():
+    assert common(list("Pxy"), list("xyP"), [8, 8, 60]) == [2]
+    assert common(list("PQxyz"), list("xyzPQw"), [8, 8, 8, 30, 30, 9]) == [3, 4]
+    assert common(list("xyPPQ"), list("PQxzy"), [30, 30, 8, 8, 8]) == [0, 1]
+    rng = random.Random(6)
+    for _ in range(2000):
+        words = [rng.choice([5, 10, 30, 60]) for _ in range(9)]
+        a, b = ([rng.randrange(9) for _ in range(rng.randrange(14))] for _ in range(2))
+        got = common(a, b, [words[x] for x in b])
+        runs = {tuple(a[i:k]) for i in range(len(a)) for k in range(i + 1, len(a) + 1) if sum(words[x] for x in a[i:k]) >= MIN_WORDS}
+        shared = {j for i in range(len(b)) for k in range(i + 1, len(b) + 1) if tuple(b[i:k]) in runs for j in range(i, k)}
+        left = [j for j in range(len(b)) if j not in got]
+        assert set(got) <= shared
+        assert not any(tuple(b[i:k]) in runs and set(range(i, k)) <= set(left) for i in range(len(b)) for k in range(i + 1, len(b) + 1))
+
+
 def table(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, lines int")
 

@@ -132,24 +132,24 @@ def slots(groups: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 
 def _cut(path: str, size: int):
-    """Pieces of (id, text): number, place and checksum, and the running number of its length in this task."""
+    """Pieces of (id, text): number, place and ids, and the running number of its length in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         task = TaskContext.get().partitionId()
         seen: Counter = Counter()
         for batch in pieces(batches):
-            rows, names = defaultdict(list), ("row", "piece", "start", "length", "crc", "nth")
+            rows, names = defaultdict(list), ("row", "piece", "start", "length", "nth", "ids")
             for i, data in enumerate(e.encode_many([x or "" for x in batch.column(1).to_pylist()])):
-                ids = np.append(np.frombuffer(data, e.dtype), END_ID).astype("<u4")
+                ids = np.append(np.frombuffer(data, e.dtype), END_ID).astype(e.dtype)
                 for k, x in enumerate(range(0, len(ids), size)):
                     part = ids[x : x + size]
-                    for name, v in zip(names, (i, k, x, len(part), zlib.crc32(part), seen[len(part)]), strict=True):
+                    for name, v in zip(names, (i, k, x, len(part), seen[len(part)], part.tobytes()), strict=True):
                         rows[name].append(v)
                     seen[len(part)] += 1
             n = len(rows["row"])
-            columns = [batch.column(0).take(pa.array(rows["row"], pa.int64())), pa.array(rows["piece"], pa.int32()), *(pa.array(rows[x], pa.int64()) for x in names[2:]), pa.array([task] * n, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "crc", "nth", "task"])
+            columns = [batch.column(0).take(pa.array(rows["row"], pa.int64())), pa.array(rows["piece"], pa.int32()), *(pa.array(rows[x], pa.int64()) for x in names[2:5]), pa.array(rows["ids"], pa.binary()), pa.array([task] * n, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "nth", "ids", "task"])
 
     return run
 
@@ -161,26 +161,30 @@ def _placed(table: np.ndarray):
             length, rank = (np.asarray(batch.column(k)) for k in (3, 5))
             at = table[np.searchsorted(keys, (length << 44) + rank, "right") - 1]
             nth = rank - at[:, 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(at[:, 4] + nth // at[:, 3]), pa.array(at[:, 5] + nth % at[:, 3] * length)], ["id", "piece", "start", "length", "crc", "sequence", "offset"])
+            crc = [zlib.crc32(np.frombuffer(x, f"<u{len(x) // n}").astype("<u4")) for x, n in zip(batch.column(4).to_pylist(), length.tolist(), strict=True)]
+            columns = [*batch.columns[:4], pa.array(crc, pa.int64()), pa.array(at[:, 4] + nth // at[:, 3]), pa.array(at[:, 5] + nth % at[:, 3] * length), batch.column(4)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "crc", "sequence", "offset", "ids"])
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each row of docs.
+    """(id_col, piece, start, length, ids_crc32, sequence_id, offset, ids) for each piece of each row of docs.
 
+    ids are the piece's token ids, little-endian, of 2 bytes each or of 4 where the vocabulary needs them;
+    ids_crc32 is made from these ids, as 4 bytes each. A sequence is its pieces' ids in order of offset.
     A document's ids end with END_ID; longer ones than size are cut into pieces of size. A null text
     counts as empty, a null id is returned as it is; equal rows are each packed. The plan sent to the
     executors has some rows for each length, a few times size at most. An empty table gives none."""
     s = Scratch(docs.sparkSession, "packing")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    cut = s.save(texts.mapInArrow(_cut(tokenizer, size), f"id {kind}, piece int, start long, length long, crc long, nth long, task int"), "pieces")
+    cut = s.save(texts.mapInArrow(_cut(tokenizer, size), f"id {kind}, piece int, start long, length long, nth long, ids binary, task int"), "pieces")
     by_task = s.save(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "by_task")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size rows at most
     table = slots(plan(counts, size))
     bases = by_task.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base"))
     bases = s.save(bases, "bases")
-    ranked = cut.join(bases, ["length", "task"]).select("id", "piece", "start", "length", "crc", (F.col("base") + F.col("nth")).alias("rank"))
-    out = ranked.mapInArrow(_placed(table), f"id {kind}, piece int, start long, length long, crc long, sequence long, offset long")
-    return out.select(F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
+    ranked = cut.join(bases, ["length", "task"]).select("id", "piece", "start", "length", "ids", (F.col("base") + F.col("nth")).alias("rank"))
+    out = ranked.mapInArrow(_placed(table), f"id {kind}, piece int, start long, length long, crc long, sequence long, offset long, ids binary")
+    return out.select(F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset", "ids")

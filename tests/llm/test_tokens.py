@@ -88,6 +88,17 @@ def test_pack(docs, odd, none, sample, tokenizer, plain):
     assert packing.pack(none, tokenizer).collect() == []
 
 
+def test_pack_returns_the_ids(spark, tokenizer, plain):
+    texts = {k: "some packed words " * n for k, n in ((1, 5), (2, 1500), (3, 0))}
+    out = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tokenizer).collect()
+    back = {k: [] for k in texts}
+    for r in sorted(out, key=lambda r: (r["doc_id"], r["piece"])):
+        ids = np.frombuffer(r["ids"], f"<u{len(r['ids']) // r['length']}")
+        assert len(ids) == r["length"] and crc(ids) == r["ids_crc32"]
+        back[r["doc_id"]] += ids.tolist()
+    assert back == {k: [*plain(t), 0] for k, t in texts.items()}
+
+
 def least_bins(items, size):
     """The fewest bins, by trying all."""
     best = [len(items)]

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import ship
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only in local mode, where the session names no shared folder, as in tests.
 LOCAL_DIR = "/tmp/checkpoints"
 #: Lets the shuffle files of a written table go once it is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset, local mode sets one of its own; a cluster
+    has no folder that could be guessed, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = LOCAL_DIR
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,6 +53,10 @@ class Scratch:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def scheme(self, path: str) -> str:
+        """The scheme of the store that a path is in; file for folders that machines mount."""
+        return self._at(path)[1].getUri().getScheme() or "file"
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

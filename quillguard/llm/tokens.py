@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -11,36 +12,43 @@ import numpy as np
 
 #: White space to str.split that a tokenizer's \s does not know; texts with it are encoded whole.
 _ODD = "\x1c\x1d\x1e\x1f"
-#: A stop or comma that belongs to a run of signs.
-_SIGNS = re.compile(r"[.,](?<=[^\w\s].)|[.,](?<=_.)")
+#: What stands right before a stop or comma, but for ASCII letters and digits and white space.
+_BEFORE = re.compile(r"[.,](?<=([^A-Za-z0-9\s]).)")
+# The normalizer and the pre-tokenizer of tokenizers whose words between white space are independent.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: Words kept at most, about 200 bytes each, before all are dropped; and the length of the longest.
 KEPT, LONGEST = 500_000, 40
 
 
 class Encoder:
-    """Ids of a tokenizers file that treats words between white space apart, as one that drops white space does.
+    """Ids of a tokenizers file, equal to those of its own encode() on whole texts.
 
-    exact: encode texts whole, for tokenizers that don't."""
+    Where the file's normalizer and pre-tokenizer are NORMALIZER and PIECES, words between white space
+    are encoded apart and kept. Any other tokenizer gets its texts whole."""
 
-    def __init__(self, path: str, exact: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values(), default=0) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.code = "H" if size <= 1 << 16 else "I"  # as array.array has them on machines of this byte order
-        self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        self.exact = exact
-        same = lambda a, b: self._ids([a]) == self._ids([b])
-        self.lowers = same("Ab É ÿ", "ab é ÿ")
-        self.signs_apart = same("ab, b. 5, é.", "ab , b . 5 , é .")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = re.compile("|".join(re.escape(x.content) for x in added) or "(?!)")
+        known = json.loads(self.tokenizer.to_str())
+        pre = known["pre_tokenizer"] or {}
+        plain = all(x.content.startswith("<|") and not (x.normalized or x.lstrip or x.rstrip or x.single_word) for x in added)
+        self.exact = not (plain and known["normalizer"] == NORMALIZER and (pre.get("pretokenizers") or [pre])[0] == PIECES)
+        #: Whether a stop after this character is a piece of its own.
+        self.apart: dict[str, bool] = {}
         self.kept: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = None
         if suffix:  # whether a token ends a word
-            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends = np.zeros(size, bool)
             self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
 
     def _ids(self, words: list[str]) -> list[bytes]:
@@ -61,14 +69,21 @@ class Encoder:
         known.update(zip(rest, self._ids(rest), strict=True))
         return [known[w] for w in words]
 
+    def _stands_apart(self, c: str) -> bool:
+        """Whether the normal form of c ends with a letter or digit, so that a stop or comma after it begins a piece."""
+        if c not in self.apart:
+            normal = self.tokenizer.normalizer.normalize_str(c)
+            self.apart[c] = all(self.tokenizer.pre_tokenizer.pre_tokenize_str(normal + x)[-1][0] == x for x in ".,")
+        return self.apart[c]
+
     def _split(self, text: str) -> list[str] | None:
         """Parts of a text that are encoded apart, fewer different ones than its words; None if it has to be taken whole."""
         if self.exact or any(c in text for c in _ODD) or "<|" in text and self.special.search(text):
             return None
         # characters of Latin-1 lower-case one by one and need no composition
-        if self.lowers and len(text.encode("latin-1", "ignore")) == len(text):
+        if len(text.encode("latin-1", "ignore")) == len(text):
             text = text.lower()
-        if self.signs_apart and not _SIGNS.search(text):
+        if all(map(self._stands_apart, set(_BEFORE.findall(text)))):
             text = text.replace(",", " ,").replace(".", " .")
         return text.split()
 

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
 import pytest
 
-from quillguard.llm import packing
-from quillguard.llm.binary import file_parts, token_files, write_tokens
+from quillguard.llm import binary, packing
+from quillguard.llm.binary import open_tokens, read_tokens, token_files, write_tokens
 from quillguard.llm.tokens import Encoder
 
 
@@ -34,6 +35,27 @@ def test_encoder_is_the_tokenizer(tokenizer, plain, sample, odd):
             assert np.frombuffer(e.encode(text or ""), e.dtype).tolist() == plain(text)
 
 
+def test_every_character_beside_a_stop_or_comma(tokenizer):
+    from tokenizers import Tokenizer
+
+    e = Encoder(tokenizer)
+    texts = [f"a{chr(c)}, {chr(c)}.{chr(c)}" for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    want = Tokenizer.from_file(tokenizer).encode_batch(texts, add_special_tokens=False)
+    assert [t for t, a, b in zip(texts, e.encode_many(texts), want, strict=True) if np.frombuffer(a, e.dtype).tolist() != b.ids] == []
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng, signs = random.Random(3), "ab c.,'\"!-éñßİΣςक़क़́ \n\t\x85\u3000०漢かな゙각😀<|>_𝔸ǅﬡ.,"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(20_000)] + ["a <|endoftext|>. b", "<|startoftext|>,x", ""]
+    e, want = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)
+    assert e.exact == (name != "word_bpe_49k.json")
+    assert [t for t, a, b in zip(texts, e.encode_many(texts), want, strict=True) if np.frombuffer(a, e.dtype).tolist() != b.ids] == []
+
+
 def test_token_files(docs, odd, sample, tokenizer, plain):
     for df, rows in ((docs, [(i, t) for i, t, _ in sample]), (odd, [(r["doc_id"], r["text"]) for r in odd.collect()])):
         expected, start = [], 0
@@ -45,19 +67,39 @@ def test_token_files(docs, odd, sample, tokenizer, plain):
         assert out == expected
 
 
-def test_file_is_flat(docs, tokenizer, plain, sample, tmp_path):
+def test_files_are_mapped(docs, tokenizer, plain, sample, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "FILE_BYTES", 3_000)
     write_tokens(docs, f"file://{tmp_path}/t", tokenizer)
     parts = sorted(p for p in (tmp_path / "t").iterdir() if p.name.startswith("part"))
+    assert len(parts) > 3
     ids, order = [], []
     for p in parts:
-        x, names, starts, null = file_parts(np.memmap(p, np.uint8, "r").tobytes(), "<u2")
+        arrays = open_tokens(str(p), "<u2")
+        x, names, starts, null = arrays
+        assert all(isinstance(a.base, np.memmap) or not a.flags.owndata for a in arrays)
         assert starts[-1] == len(x) and not null.any()
+        assert names.ctypes.data % 8 == starts.ctypes.data % 8 == 0
         ids += x.tolist()
         order += names.tolist()
     assert order == sorted(i for i, _, _ in sample)
     assert ids == [x for _, t, _ in sorted(sample) for x in [*plain(t), 1]]
 
 
+@pytest.mark.parametrize("mounted", [True, False])
+def test_files_are_in_the_order_of_their_numbers(spark, docs, tokenizer, tmp_path, monkeypatch, mounted):
+    """Names past part-99999, some groups of files, and files that can't be mapped."""
+    monkeypatch.setattr(binary, "FILE_BYTES", 3_000)
+    monkeypatch.setattr(binary, "GROUP", 2)
+    if not mounted:
+        monkeypatch.setattr(binary.Scratch, "scheme", lambda self, path: "store")
+    write_tokens(docs, f"file://{tmp_path}/t", tokenizer)
+    key = lambda r: r["start"]
+    want = sorted(read_tokens(spark, f"file://{tmp_path}/t", tokenizer).collect(), key=key)
+    for k, p in enumerate(sorted(p for p in (tmp_path / "t").iterdir() if p.name.startswith("part"))):
+        p.rename(p.with_name(f"part-{99_998 + k:05d}" + p.name[10:]))
+    assert sorted(read_tokens(spark, f"file://{tmp_path}/t", tokenizer).collect(), key=key) == want
+
+
 def test_token_files_empty(none, tokenizer):
     assert token_files(none, tokenizer).collect() == []
 

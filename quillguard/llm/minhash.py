@@ -4,10 +4,12 @@ Every document gets one signature from a single hash of each shingle: the hash's
 bin, and the bin keeps its smallest hash. Empty bins borrow from a bin that a fixed random order
 gives (optimal densification), alike for all documents. Groups of neighbouring bins make banded
 buckets. A bucket proposes a star: its centre with each other member, so the candidates grow with
-the members and not with their square. Candidates are confirmed on full shingle sets. Of a bucket whose
-members are then still in several components, the members of different components are compared by
-their signatures, a byte for each bin, in blocks of bounded size, and close pairs are confirmed in
-the same way; so a link that the star has missed is found.
+the members and not with their square. Candidates are confirmed on full shingle sets. Buckets whose
+members are then still in several components get further stars: each member is compared by its
+signature, a byte for each bin, with some centres of its bucket, and its closest partner is confirmed
+in the same way. These stages are linear in the members. Only of a bucket that is still in several
+components after that, the members of different components are all compared by their signatures, in
+blocks of bounded size; so a link that the stars have missed is found.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ class NearDup:
     bands of rows bins each: at a similarity of 0.8 a pair shares no bucket with a probability of
     (1 - 0.8 ** rows) ** bands, 1e-5 as set here. Pairs that a star hasn't joined are confirmed if
     their signatures agree in a share of close or more of the bins, three standard deviations below
-    0.8; blocks of a bucket hold about block members."""
+    0.8; blocks of a bucket hold about block members, and its second star has about centres of them."""
 
     shingle: int = 4
     percent: int = 80
@@ -45,6 +47,7 @@ class NearDup:
     rows: int = 7
     close: float = 0.73
     block: int = 1024
+    centres: int = 32
 
     @property
     def bins(self) -> int:
@@ -109,7 +112,7 @@ def _signatures(p: NearDup):
                     keys.append(buckets(sig, p).astype(np.int64))
                 ends[i + 1] = len(keys) * p.bands
             keys = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h1), pa.array(h2), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), keys)], ["id", "n", "h1", "h2", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(h1), pa.array(h2), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), keys)], ["id", "t", "n", "h1", "h2", "sig", "bands"])
 
     return run
 
@@ -137,17 +140,19 @@ def _similar(p: NearDup):
 
 
 def _close(p: NearDup, best: bool):
-    """Of (block, band, node, label, part, sig, keys) sorted by block, pairs (a, b) of different labels with close signatures; with best, each row's closest only.
+    """Of (block, band, node, label, part, sig, keys) sorted by block, pairs (a, b) of different labels with close signatures.
 
-    A block has the members of one part of a bucket, or of two parts, whose own pairs are tested elsewhere.
-    A pair is told in the first band whose bucket the two share, by the buckets' own keys: bytes of a
+    With best, a block has some members of a bucket and its centres, of part 1, and each row's closest centre is told.
+    Else it has the members of one part of a bucket, or of two parts, whose own pairs are tested elsewhere. A pair is told in the first band whose bucket the two share, by the buckets' own keys: bytes of a
     signature may agree where the keys differ. keys has a 64-bit key for each band."""
 
     def pairs(band, node, label, part, sig, keys) -> list[tuple[int, int]]:
-        out, two = [], part.min() != part.max()
+        out, two, centres = [], part.min() != part.max(), np.flatnonzero(part == 1)
         for i in range(len(node)):
-            first = 0 if best else i + 1
-            rest = np.flatnonzero((label[first:] != label[i]) & ((part[first:] != part[i]) if two else True)) + first
+            if best:
+                rest = centres[label[centres] != label[i]]
+            else:
+                rest = np.flatnonzero((label[i + 1 :] != label[i]) & ((part[i + 1 :] != part[i]) if two else True)) + i + 1
             if len(rest):
                 same = np.count_nonzero(sig[rest] == sig[i], axis=1)
                 good = rest[same >= p.close * p.bins]
@@ -200,27 +205,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id that links reach, kept tells whether that is the row's own.
     A null text counts as empty; texts without words have no shingles and no links. Rows with a
     null id take part in no link and are kept, with a null component_id. Equal rows are all
-    returned, with the same values. Where one id carries several texts and is the smallest id of
-    more than one of them, only one of those texts takes part in links. An empty table gives none.
+    returned, with the same values. Where one id carries several texts, each of them has its own links
+    and its own component; the id alone links nothing. An empty table gives none.
     """
     p = params
     spark = docs.sparkSession
     s = Scratch(spark, "minhash")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = s.save(texts.mapInArrow(_signatures(p), "id long, n long, h1 long, h2 long, sig binary, bands array<long>"), "signatures")
-    # equal sets count once, as the smallest id that has them
-    groups = sig.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("node"))
-    groups = s.save(groups, "groups")
-    nodes = s.save(groups.groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h")).select("node", "h.h1", "h.h2"), "nodes")
-    own = sig.where("n > 0").select(F.col("id").alias("node"), "h1", "h2", "sig", "bands")
-    own = own.join(nodes, ["node", "h1", "h2"], "left_semi").dropDuplicates(["node", "h1", "h2"])
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("t"))
+    sig = s.save(texts.mapInArrow(_signatures(p), "id long, t long, n long, h1 long, h2 long, sig binary, bands array<long>"), "signatures")
+    # a node is a set; the row of its smallest id stands for all that have it
+    first = F.min(F.struct("id", "t")).alias("first")
+    groups = sig.where("n > 0 and id is not null").groupBy("h1", "h2").agg(first).select("h1", "h2", "first.*")
+    groups = s.save(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    own = sig.where("n > 0").join(groups, ["id", "t", "h1", "h2"]).dropDuplicates(["node"])
+    own = s.save(own.select("node", "id", "t", "sig", "bands"), "own")
     rows = s.save(own.select("node", F.explode("bands").alias("key")), "rows")
     full = s.save(rows.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last"), "full")
     stars = s.save(rows.join(full.select("key", "centre"), "key"), "stars")
     s.drop("rows", "full")
-    wanted = s.save(stars.select("node").distinct(), "wanted")
-    cand = texts.withColumnRenamed("id", "node").join(wanted, "node").dropDuplicates(["node"])
-    cand = s.save(cand, "texts")
+    wanted = s.save(own.select("node", "id", "t").join(stars.select("node").distinct(), "node"), "wanted")
+    cand = texts.join(wanted, ["id", "t"]).dropDuplicates(["node"])
+    cand = s.save(cand.select("node", "text"), "texts")
 
     def confirmed(pairs: DataFrame, k: str) -> DataFrame:
         """The pairs (a, b) whose full sets are similar."""
@@ -234,14 +240,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(pairs, "star")
     labels = components(links, s, "star")
     sigs = own.select("node", "sig", "bands")
-    # first each member's closest partner, which joins most of what the star has left apart, then all close pairs of the rest
+    # first each member's closest centre, which joins most of what the star has left apart, then all close pairs of the rest
     for k, best in (("best", True), ("rest", False)):
         marked = s.save(stars.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), f"marked-{k}")
         open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
-        open_keys = s.save(open_keys.select("key", F.ceil(F.col("n") / p.block).cast("int").alias("m")), f"open-{k}")
+        open_keys = s.save(open_keys.select("key", "n", F.ceil(F.col("n") / p.block).cast("int").alias("m")), f"open-{k}")
         part = F.pmod(F.xxhash64("node"), "m").cast("int")
-        blocks = marked.join(open_keys, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        block = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block")
+        blocks, every = marked.join(open_keys, "key").withColumn("part", part), F.sequence(F.lit(0), F.col("m") - 1)
+        if best:  # members go to the block of their part, centres to all blocks of the bucket
+            centre = F.pmod(F.xxhash64("node", "key"), F.greatest(F.floor(F.col("n") / p.centres), F.lit(1))) == 0
+            blocks = blocks.withColumn("other", F.explode(F.when(centre, every).otherwise(F.array("part")))).withColumn("part", centre.cast("int"))
+            block = F.xxhash64("key", "other").alias("block")
+        else:
+            blocks = blocks.withColumn("other", F.explode(every))
+            block = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block")
         blocks = s.save(blocks.select("node", "label", "part", F.col("key").bitwiseAND(BANDS - 1).cast("int").alias("band"), block), f"blocks-{k}")
         blocks = blocks.join(sigs.join(blocks.select("node").distinct(), "node", "left_semi"), "node")
         blocks = blocks.repartition("block").sortWithinPartitions("block").select("block", "band", "node", "label", "part", "sig", "bands")
@@ -250,7 +262,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         s.drop(f"marked-{k}", f"open-{k}", f"blocks-{k}")
         links, pairs = links.union(confirmed(close, k)), pairs.union(close)
         labels = components(links, s, k)
-    by_set = s.save(groups.join(nodes, ["node", "h1", "h2"]).join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("label")), "by_set")
+    linked = s.save(groups.join(labels, "node").select("h1", "h2", "id", "label"), "linked")
+    least = s.save(linked.groupBy("label").agg(F.min("id").alias("least")), "least")
+    by_set = s.save(linked.join(least, "label").select("h1", "h2", "least"), "least_by_set")
+    by_set = s.save(groups.join(by_set, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "id").alias("label")), "by_set")
     out = sig.select("id", "n", "h1", "h2").join(by_set, ["h1", "h2"], "left")
     linked = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.coalesce("label", "id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), linked.alias("component_id"))

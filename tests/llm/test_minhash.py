@@ -61,7 +61,8 @@ def test_dense_group_and_blocks(spark):
             words[rng.randrange(len(words))] = f"z{rng.randrange(10**7)}"
         rows.append((1000 - k, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(near_duplicates(df, params=NearDup(block=16))) == brute(rows)
+    for centres in (1, 3, 32):
+        assert got(near_duplicates(df, params=NearDup(block=16, centres=centres))) == brute(rows)
 
 
 def test_pair_whose_bytes_agree_in_an_earlier_band(spark):
@@ -77,6 +78,22 @@ def test_pair_whose_bytes_agree_in_an_earlier_band(spark):
     assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == expected
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_id_with_several_texts(spark, seed):
+    """Two texts under each id and a near copy of each: every text keeps its own links."""
+    rng, rows, expected = random.Random(seed), [], []
+    for i in range(20):
+        for k in range(2):
+            words = [f"s{seed}i{i}k{k}w{x}" for x in range(150)]
+            near = list(words)
+            near[rng.randrange(150)] = "z"
+            copy = 1000 + 10 * i + k
+            rows += [(i, " ".join(words)), (copy, " ".join(near))]
+            expected += [(i, 147, i), (copy, 147, i)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted((r[0], r[1], r[2]) for r in out.collect()) == sorted(expected)
+
+
 def test_test_data(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert got(near_duplicates(df)) == brute([(r["doc_id"], r["text"]) for r in df.collect()])

@@ -1,14 +1,17 @@
-"""Passages that earlier documents have too, found by line hashes and removed by patience diff.
-
-Lines are compared in a normal form (A-Z lower-cased, runs of white space as one space). From each
-line of a document on, the fewest lines that together have min_words words give a key: two documents
-have a common block of that many words only if they share a key. Each document is paired with the
-first one, by id, that has a key of its, so a passage that very many documents share gives a pair
-for each and not for any two of them. A pair is aligned by patience diff: lines that occur once in
-both, the longest ascending run of them, and so on between those. Aligned blocks of min_words words
-or more are removed from the later document; what is left of it is aligned again, as a block may
-have moved. A block that crosses the alignment of shorter ones is looked up by its runs, so that none
-is left. The first document of a passage keeps it.
+"""Passages that earlier documents have too, found by rare line hashes and removed by patience diff.
+
+Lines are compared in a normal form (A-Z lower-cased, runs of white space as one space). For each line
+the documents that have it are counted. Only passages all of whose lines are in two documents or more
+can be common, and of those, only such of min_words words count: from each line on, and up to each line,
+the fewest lines that have so many words make a run. A run is looked for by its rarest line: documents
+meet under that line's hash, those that have the whole run there are paired with the first of them by
+id. So a rare line brings few together, and a passage of lines that very many documents have gives a
+pair for each and not for any two of them. Every line of a block of min_words words that an earlier
+document has is in a run that the first holder of the run has, so no block goes unseen.
+
+A pair is aligned by patience diff: lines that occur once in both, the longest ascending run of them,
+and so on between those. Aligned blocks of min_words words or more are removed from the later document,
+as are blocks that cross the alignment of others. The first document of a passage keeps it.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ from pyspark.sql import types as T
 
 from .quality import normal_lines
 from .scratch import Scratch
-from .text import U, mix, pieces, raw, runs_hash, small, spans_hash
+from .text import U, pieces, raw, runs_hash, small, spans_hash
 from .tokens import forget
 
-#: Words of the shortest block that is removed.
-MIN_WORDS = 50
+#: Words of the shortest block that is removed; pairs of an earlier document that one copy of its lines serves.
+MIN_WORDS, SERVED = 50, 1000
 
 
 def _matches(a: list, b: list, a0: int, a1: int, b0: int, b1: int, out: list) -> None:
@@ -84,98 +87,82 @@ def _matches(a: list, b: list, a0: int, a1: int, b0: int, b1: int, out: list) ->
                 out.append((i, j))
 
 
-def _runs(lines: list, places: list[int], size, min_words: int):
-    """For each run of consecutive places from which on there are min_words words: its first place, and the fewest lines of them."""
-    at = 0
-    while at < len(places):
-        end = at + 1
-        while end < len(places) and places[end] == places[end - 1] + 1:
-            end += 1
-        b, total = at, 0
-        for a in range(at, end):
-            while b < end and total < min_words:
-                total += size(places[b])
-                b += 1
-            if total < min_words:
-                break
-            yield places[a], tuple(lines[places[a] : places[b - 1] + 1])
-            total -= size(places[a])
-        at = end
-
-
-def _crossing(earlier: list, later: list, left: list[int], words: list, min_words: int) -> set[int]:
-    """Places of later, out of left, in blocks of min_words words or more that earlier has anywhere, in whatever order."""
-    has = set(earlier)
-    mine = dict(_runs(later, [j for j in left if later[j] in has], words.__getitem__, min_words))
+def runs(words: np.ndarray, min_words: int) -> np.ndarray:
+    """Distinct (start, end) of the fewest lines with min_words words from each line on, and up to each line."""
+    sums = np.concatenate([[0], np.cumsum(words)])
+    n = len(words)
+    end = np.searchsorted(sums, sums[:-1] + min_words)
+    start = np.searchsorted(sums, sums[1:] - min_words, "right") - 1
+    on, up = np.flatnonzero(end <= n), np.flatnonzero(start >= 0)
+    both = np.concatenate([on * (n + 1) + end[on], start[up] * (n + 1) + up + 1])
+    return np.stack(np.divmod(np.unique(both), n + 1), axis=1)
+
+
+def _inside(spans: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """The spans all of whose lines are good."""
+    sums = np.concatenate([[0], np.cumsum(good)])
+    return spans[sums[spans[:, 1]] - sums[spans[:, 0]] == spans[:, 1] - spans[:, 0]]
+
+
+def _crossing(earlier: list, later: list, words: list, min_words: int) -> set[int]:
+    """Places of later in blocks of min_words words or more that earlier has anywhere, in whatever order."""
+    size, has = dict(zip(later, words, strict=True)), set(earlier)
+    mine = _inside(runs(np.array(words, np.int64), min_words), np.array([x in has for x in later], bool)).tolist()
     if not mine:
         return set()
-    n = {later[j]: words[j] for j in left}
-    wanted, starts = set(mine.values()), {}
-    for i, run in _runs(earlier, [i for i, x in enumerate(earlier) if x in n], lambda i: n[earlier[i]], min_words):
-        if run in wanted:
-            starts.setdefault(run, []).append(i)
-    rest, gone, end = set(left), set(), -1
-    for j, run in mine.items():
-        if j >= end and run in starts:
-            size, at = len(run), starts[run]
-            while j + size in rest and (longer := [i for i in at if i + size < len(earlier) and earlier[i + size] == later[j + size]]):
-                size, at = size + 1, longer
-            end = j + size
-            gone.update(range(j, end))
-    return gone
+    theirs = runs(np.array([size.get(x, 1) for x in earlier], np.int64), min_words)
+    theirs = {tuple(earlier[a:b]) for a, b in _inside(theirs, np.array([x in size for x in earlier], bool)).tolist()}
+    return {j for a, b in mine if tuple(later[a:b]) in theirs for j in range(a, b)}
 
 
 def common(earlier: list, later: list, words: list, min_words: int = MIN_WORDS) -> list[int]:
     """Places of later in blocks, of consecutive lines in both, of min_words words or more: aligned ones first,
-    then those that cross the alignment, until no such block is left."""
-    gone: set[int] = set()
-    left = list(range(len(later)))
-    while left:
-        found: list[tuple[int, int]] = []
-        _matches(earlier, [later[j] for j in left], 0, len(earlier), 0, len(left), found)
-        block, new = [], set()
-        for i, k in [*sorted(found), (-9, -9)]:
-            if block and (i != block[-1][0] + 1 or k != block[-1][1] + 1 or left[k] != left[block[-1][1]] + 1):
-                places = [left[x] for _, x in block]
-                if sum(words[j] for j in places) >= min_words:
-                    new.update(places)
-                block = []
-            block.append((i, k))
-        new = new or _crossing(earlier, later, left, words, min_words)
-        if not new:
-            break
-        gone |= new
-        left = [j for j in left if j not in new]
-    return sorted(gone)
-
-
-def _profile(min_words: int):
-    """Of (id, text): a hash of the text, its lines' hashes and words, and the distinct keys of its runs."""
+    then those that cross the alignment."""
+    if not earlier or not later:
+        return []
+    found: list[tuple[int, int]] = []
+    _matches(earlier, later, 0, len(earlier), 0, len(later), found)
+    block, gone = [], set()
+    for i, j in [*sorted(found), (-9, -9)]:
+        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
+            if sum(words[y] for _, y in block) >= min_words:
+                gone.update(y for _, y in block)
+            block = []
+        block.append((i, j))
+    return sorted(gone | _crossing(earlier, later, words, min_words))
+
+
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (id, text): a hash of the text, its lines' hashes and words."""
+    forget()
+    for batch in pieces(batches):
+        data, offsets = raw(batch.column(1))
+        _, _, row, line, words = normal_lines(data, offsets)
+        ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (line.astype(np.int64), words.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans_hash(data, offsets[:-1], offsets[1:]).astype(np.int64)), *lists], ["id", "hash", "lines", "words"])
+
+
+def _keys(min_words: int):
+    """Of (id, lines, words, shared lines, how many documents have each): the rarest line and a hash of each run of shared lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        for batch in pieces(batches):
-            data, offsets = raw(batch.column(1))
-            _, _, row, line, words = normal_lines(data, offsets)
-            rows = batch.num_rows
-            bounds = np.searchsorted(row, np.arange(rows + 1))
-            sums = np.concatenate([[0], np.cumsum(words)])
-            # the end of the shortest run from each line on; beyond the row's end there is none
-            ends = np.searchsorted(sums, sums[:-1] + min_words)
-            inside = ends <= bounds[row + 1] if len(row) else np.zeros(0, bool)
-            starts = np.flatnonzero(inside)
-            keys = mix(runs_hash(line, starts, ends[starts]) + U(1))
-            order = np.lexsort((keys, row[starts]))
-            r, keys = row[starts][order], keys[order]
-            new = np.ones(len(r), bool)
-            new[1:] = (r[1:] != r[:-1]) | (keys[1:] != keys[:-1])
-            r, keys = r[new], keys[new]
-
-            def lists(values, of):
-                return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)), pa.array(values))
-
-            columns = [batch.column(0), pa.array(spans_hash(data, offsets[:-1], offsets[1:]).astype(np.int64)), lists(line.astype(np.int64), row), lists(words.astype(np.int32), row), lists(keys.astype(np.int64), r)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "lines", "words", "keys"])
+        for batch in small(batches):
+            ids, rare, hashes = [], [], []
+            for i, lines, words, marks, often in zip(*(batch.column(k) for k in range(5)), strict=True):
+                lines, words, marks, often = (x.values.to_numpy() for x in (lines, words, marks, often))
+                order = np.argsort(marks)
+                marks, often = marks[order], often[order]
+                at = np.minimum(np.searchsorted(marks, lines), len(marks) - 1)
+                docs = np.where(marks[at] == lines, often[at], 0)
+                spans = _inside(runs(words, min_words), docs > 0)
+                if len(spans):
+                    keys = runs_hash(lines.view(U), spans[:, 0], spans[:, 1]).view(np.int64)
+                    least = [min(zip(docs[a:b].tolist(), lines[a:b].tolist(), strict=True))[1] for a, b in spans.tolist()]
+                    ids += [i.as_py()] * len(spans)
+                    rare += least
+                    hashes.append(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rare, pa.int64()), pa.array(np.concatenate(hashes) if hashes else [], pa.int64())], ["id", "rare", "run"])
 
     return run
 
@@ -228,20 +215,29 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     texts. An empty table gives none."""
     s = Scratch(docs.sparkSession, "lines")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, hash long, lines array<long>, words array<int>, keys array<long>"
-    profiles = s.save(texts.where("id is not null and text is not null").mapInArrow(_profile(min_words), schema), "profiles")
-    keys = profiles.select("id", F.explode("keys").alias("key")).distinct()
-    keys = s.save(keys, "keys")
-    shared = s.save(keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"), "shared")
-    pairs = s.save(keys.join(shared, "key").where("first < id").select("first", "id").distinct(), "pairs")
-    distinct = profiles.drop("keys").dropDuplicates(["id", "hash"])
-    wanted = s.save(pairs.select("id").union(pairs.select("first")).distinct(), "wanted")
-    slim = s.save(distinct.join(wanted, "id"), "slim")
-    half = s.save(pairs.join(slim, "id"), "half")
-    both = half.join(slim.select(F.col("id").alias("first"), F.col("lines").alias("earlier")), "first").select("id", "hash", "earlier", "lines", "words")
+    profiles = texts.where("id is not null and text is not null").mapInArrow(_profile, "id long, hash long, lines array<long>, words array<int>")
+    profiles = s.save(profiles, "profiles")
+    # lines of two documents or more, and how many have each; of rows of one id, each counts
+    each = profiles.select("id", "hash", F.explode(F.array_distinct("lines")).alias("line"))
+    shared = each.groupBy("line").agg(F.count("*").alias("docs"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("line", "docs")
+    shared = s.save(shared, "shared")
+    marks = each.join(shared, "line").groupBy("id", "hash").agg(F.collect_set(F.struct("line", "docs")).alias("marks"))
+    marks = s.save(marks, "marks")
+    slim = s.save(profiles.join(marks, ["id", "hash"]).dropDuplicates(["id", "hash"]), "slim")
+    runs = slim.select("id", "lines", "words", F.col("marks.line").alias("marks"), F.col("marks.docs").alias("often"))
+    keys = s.save(runs.mapInArrow(_keys(min_words), "id long, rare long, run long"), "keys")
+    firsts = keys.groupBy("rare", "run").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("rare", "run", "first")
+    pairs = s.save(keys.join(s.save(firsts, "firsts"), ["rare", "run"]).where("first < id").select("first", "id").distinct(), "pairs")
+    # an earlier document of very many pairs is copied, so that its pairs are dealt to many tasks
+    serves = s.save(pairs.groupBy("first").agg(F.ceil(F.count("*") / SERVED).cast("int").alias("copies")), "serves")
+    salted = s.save(pairs.join(serves, "first").withColumn("salt", F.pmod(F.xxhash64("id"), "copies").cast("int")), "salted")
+    half = s.save(salted.join(slim.select("id", "hash", "lines", "words"), "id"), "half")
+    served = serves.join(slim.select(F.col("id").alias("first"), F.col("lines").alias("earlier")), "first")
+    served = served.select("first", "earlier", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    both = half.join(served, ["first", "salt"]).select("id", "hash", "earlier", "lines", "words")
     gone = both.mapInArrow(_aligned(min_words), "id long, hash long, gone array<int>").where(F.size("gone") > 0)
     gone = s.save(gone.groupBy("id", "hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
-    s.drop("keys", "shared", "slim", "half")
+    s.drop("keys", "shared", "marks", "slim", "firsts", "pairs", "salted", "half")
 
     kinds = [f.dataType for f in docs.schema]
     at = docs.columns.index(text_col)

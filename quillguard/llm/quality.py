@@ -1,9 +1,8 @@
 """Quality rules: statistics of a text, and lines that many documents of a host share.
 
 Lines are normalised (A-Z lower-cased, runs of white space as one space) and hashed. For each host
-the distinct documents of every line are counted; exact copies of a text count once, as copies are
-the concern of the dedup operators. A line of at most line_words words in more than both min_docs
-documents and max_share of the host's documents is removed. A document that loses more than
+the distinct documents, by id, of every line of whatever length are counted. A line in more than both
+min_docs documents and max_share of the host's documents is removed. A document that loses more than
 max_lost of its words by that is depleted and rejected, besides those that fail the base rules.
 """
 
@@ -26,7 +25,6 @@ from .tokens import forget
 class QualityRules:
     min_docs: int = 20
     max_share: float = 0.01
-    line_words: int = 40
     max_lost: float = 0.7
 
 
@@ -62,7 +60,7 @@ def normal_lines(data: np.ndarray, offsets: np.ndarray):
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (id, text, host): statistics, two hashes of the text, and its distinct lines with their words in all."""
+    """Of (id, text, host): statistics, two hashes of the text, and its distinct lines with the words of all their places."""
     forget()
     for batch in pieces(batches):
         rows = batch.num_rows
@@ -92,7 +90,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(new)
         sums = np.add.reduceat(words, at) if len(at) else words
         ends = np.searchsorted(row[at], np.arange(rows + 1)).astype(np.int32)
-        each = pa.StructArray.from_arrays([pa.array(line[at].astype(np.int64)), pa.array(words[at].astype(np.int32)), pa.array(sums.astype(np.int64))], ["line", "words", "total"])
+        each = pa.StructArray.from_arrays([pa.array(line[at].astype(np.int64)), pa.array(sums.astype(np.int64))], ["line", "total"])
         columns = [batch.column(0), batch.column(2), np.diff(w.bounds), chars, symbols, dup, _repeated(w, rows), h1.astype(np.int64), h2.astype(np.int64)]
         names = ["id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "h1", "h2", "lines"]
         yield pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x.astype(np.int64)) for x in columns), pa.ListArray.from_arrays(pa.array(ends), each)], names)
@@ -103,21 +101,21 @@ def _measured(docs: DataFrame, rules: QualityRules, id_col: str, text_col: str,
     s = Scratch(docs.sparkSession, "quality")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
     kind = texts.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, h1 long, h2 long, lines array<struct<line:long,words:int,total:long>>"
+    schema = f"id {kind}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, h1 long, h2 long, lines array<struct<line:long,total:long>>"
     stats = s.save(texts.mapInArrow(_stats, schema), "stats")
-    hosts = s.save(stats.select("host", "h1", "h2").distinct().groupBy("host").agg(F.count("*").alias("docs")), "hosts")
-    short = stats.select("host", "h1", "h2", F.explode("lines").alias("l")).select("host", "h1", "h2", "l.*").where(F.col("words") <= rules.line_words)
-    short = short.distinct()
-    often = short.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > rules.min_docs)
+    hosts = s.save(stats.select("host", "id").distinct().groupBy("host").agg(F.count("*").alias("docs")), "hosts")
+    each = stats.select("host", "id", "h1", "h2", F.explode("lines").alias("l")).select("host", "id", "h1", "h2", "l.*")
+    often = each.select("host", "line", "id").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > rules.min_docs)
     often = s.save(often.join(hosts, "host").where(F.col("n") > rules.max_share * F.col("docs")).select("host", "line"), "often")
-    return stats, short.select("host", "h1", "h2", "line", "total").join(often, ["host", "line"]), s
+    return stats, each.join(often, ["host", "line"]).select("host", "h1", "h2", "line", "total").distinct(), s
 
 
 def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """id_col, the base statistics, base_failed, lost_words and kept for each row of docs.
 
     A null text has no words, and so fails; a null host counts as the host of the empty name; a null
-    id is returned as it is. Equal rows are all returned, with the same values. Columns other than
+    id is returned as it is. Rows of one id, and rows without one, count as one document of their host.
+    Equal rows are all returned, with the same values. Columns other than
     the three named are not read. An empty table gives none.
     """
     stats, removed, s = _measured(docs, rules, id_col, text_col, host_col)

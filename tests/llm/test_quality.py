@@ -15,14 +15,14 @@ def normal(line):
 
 
 def brute(rows, rules):
-    docs_of, texts = defaultdict(set), defaultdict(set)
-    for _, text, host in rows:
-        texts[host or ""].add(text or "")
+    docs_of, ids = defaultdict(set), defaultdict(set)
+    for i, text, host in rows:
+        ids[host or ""].add(i)
         for line in (text or "").split("\n"):
             n = normal(line)
-            if n and len(n.split(" ")) <= rules.line_words:
-                docs_of[host or "", n].add(text)
-    often = {k for k, v in docs_of.items() if len(v) > rules.min_docs and len(v) > rules.max_share * len(texts[k[0]])}
+            if n:
+                docs_of[host or "", n].add(i)
+    often = {k for k, v in docs_of.items() if len(v) > rules.min_docs and len(v) > rules.max_share * len(ids[k[0]])}
     out, cleaned = [], {}
     for i, text, host in rows:
         text = text or ""
@@ -67,3 +67,16 @@ def test_windows_end_with_their_row(spark):
     rows = [(1, "a b c d a b", "h"), (2, "c x y z", "h"), (3, "a b c a b c", "h")]
     out = quality(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)).collect()
     assert {r["doc_id"]: r["n_repeat_words"] for r in out} == {1: 0, 2: 0, 3: 6}
+
+
+def test_copies_count_as_documents_and_long_lines_too(spark):
+    """A page in ten copies is depleted by its own lines; a line of 60 words in many documents goes."""
+    page, notice = " ".join(f"p{k}" for k in range(70)), " ".join(f"n{k}" for k in range(60))
+    rows = [(k, page, "h") for k in range(10)]
+    rows += [(100 + k, " ".join(f"own{k}w{j}" for j in range(150)) + "\n" + notice, "h") for k in range(10)]
+    rows += [(200, page, "other"), (200, page, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out, cleaned = brute(rows, RULES)
+    assert sorted(tuple(r) for r in quality(df, RULES).collect()) == sorted(out)
+    assert not any(r[7] for r in out if r[0] < 10) and cleaned[100] == rows[10][1].split("\n")[0]
+    assert {r["doc_id"]: r["text"] for r in clean(df, RULES).collect()} == cleaned

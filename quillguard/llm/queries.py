@@ -43,7 +43,7 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archive(_read(spark, sf_dir, "pages"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,8 @@ def _part(modulus: int):
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = learn(docs, labels.where(_part(3) != 1))
-    out = toxicity(docs, model, sentences=False)
-    return out.select("doc_id", (_part(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    out = toxicity(docs, model)
+    return out.select("doc_id", (_part(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "sentences")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,10 +129,15 @@ from d left join h using (doc_id) left join n using (doc_id)
     "op5_warc": """
 with p as (select page_id, url, coalesce(html, '') as html, sha256(coalesce(html, '')) as digest from pages),
     f as (select digest, min(page_id) as first from p where strlen(html) >= 100 group by digest),
-    r as (select p.*, case when f.first <> page_id then f.first end as refers_to from p left join f using (digest))
+    r as (select p.*, case when f.first <> page_id then f.first end as refers_to from p left join f using (digest)),
+    u as (select *, array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\.', ''), '.')), ',') as host,
+        lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) as path, lower(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1)) as query from r),
+    k as (select *, host || ')' || case when path = '' then '/' else path end || case when query = '' then '' else '?' || array_to_string(list_sort(string_split(query, '&')), '&') end as url_key,
+        strftime(timestamp '2024-01-01' + to_seconds(page_id % 4294967296), '%Y-%m-%dT%H:%M:%SZ') as captured from u)
 select page_id, strlen(html)::bigint as payload_bytes, digest as payload_digest,
-    case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to
-from r
+    case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to, url_key, captured,
+    row_number() over (order by url_key, captured, page_id) - 1 as position
+from k
 """,
     "op10_quality": f"""
 with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),
@@ -140,9 +145,9 @@ with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as te
     l as (select doc_id, host, text, line, list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as lw
         from (select doc_id, host, text, unnest(string_split(text, chr(10))) as line from d)),
     f as (select doc_id, host, text, line, len(lw) as n, {_FOLD.format("array_to_string(lw, ' ')")} as norm from l where len(lw) > 0),
-    hosts as (select host, count(distinct text) as docs from d group by host),
-    often as (select host, norm from f join hosts using (host) where n <= 40
-        group by host, norm having count(distinct text) > 20 and count(distinct text) > 0.01 * any_value(docs)),
+    hosts as (select host, count(distinct doc_id) as docs from d group by host),
+    often as (select host, norm from f join hosts using (host)
+        group by host, norm having count(distinct doc_id) > 20 and count(distinct doc_id) > 0.01 * any_value(docs)),
     lost as (select doc_id, sum(n) as lost from f join often using (host, norm) group by doc_id),
     dup as (select doc_id, count(*) - count(distinct line) as n from f group by doc_id),
     t as (select doc_id, x, md5(w[x] || ' ' || w[x + 1] || ' ' || w[x + 2]) as t from (select doc_id, w, unnest(range(1, len(w) - 1)) as x from w)),

@@ -2,8 +2,9 @@
 
 A sentence's score is a logistic function of the hashed words and word beginnings in it; a document's is
 the noisy-or of its sentences, 1 - prod(1 - p). The weights are fitted to document labels only, by
-gradients through the noisy-or, on the driver, from a sample of at most max_docs labelled rows;
-they take 2 ** bits floats whatever the input. Scoring is one pass without a shuffle.
+gradients through the noisy-or, on the driver, from a sample of labelled rows that is bounded in rows
+and bytes; they take 2 ** bits floats whatever the input. Scoring is one pass without a shuffle, which
+also tells the sentences that make a document toxic.
 """
 
 from __future__ import annotations
@@ -32,11 +33,13 @@ PREFIXES = (4, 5, 6, 7)
 
 @dataclass(frozen=True)
 class Training:
-    """max_docs: the most labelled rows that are used, the first in the order of a hash of the id.
-    z: the least score, in standard deviations, by which a feature is more frequent in documents of
+    """max_docs, max_bytes: the most labelled rows that are used, and the most bytes of text in all, the first
+    in the order of a hash of the id; of those of at most doc_bytes, for the sample alone. z: the least score, in standard deviations, by which a feature is more frequent in documents of
     label 1 for it to get a weight; the rest have none."""
 
     max_docs: int = 12_000
+    max_bytes: int = 64 << 20
+    doc_bytes: int = 1 << 20
     bits: int = 18
     z: float = 5.0
     steps: int = 300
@@ -122,8 +125,12 @@ def learn(docs: DataFrame, labels: DataFrame, t: Training = Training(), id_col:
     Of an id with several labels the largest holds; of one with several texts all are used."""
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = named.orderBy(F.xxhash64("id"), "id").limit(t.max_docs)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # max_docs rows at most
-    got = rows.select("id", "text", "y").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(t.max_docs).toArrow()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = texts.where(F.octet_length("text") <= t.doc_bytes).join(F.broadcast(chosen), "id")  # max_docs rows at most
+    order = [F.xxhash64("id"), F.col("id"), F.xxhash64("text")]
+    sizes = [r[0] for r in rows.orderBy(*order).select(F.octet_length("text")).limit(t.max_docs).collect()]  # max_docs numbers
+    fitting = int(np.searchsorted(np.cumsum(sizes), t.max_bytes, "right"))
+    got = rows.select("id", "text", "y").orderBy(*order).limit(fitting).toArrow()
     return fit(got.column("text").to_pylist(), got.column("y").to_numpy(), t)
 
 

@@ -6,8 +6,10 @@ do and a record is all that is in memory at once. They are read by the text read
 end; pieces of a record that has such breaks inside are put together by its Content-Length.
 
 The index has an entry for each record, by URL key (SURT), time and page. Each task that reads an
-archive sorts its entries into a run; the runs are dealt by range of keys, and a task merges its
-parts of all runs with a loser tree. Its output, file after file, is the whole capture history in order.
+archive sorts and numbers its entries in a run; the runs are dealt by range of keys, and a task merges its
+parts of all runs with a loser tree, each in the order of its numbers, however its pieces arrive. The
+output, part after part, is the whole capture history in order; an entry's place in it is its place in
+its part plus the entries of all parts before.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -145,7 +147,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(rows), 10_000):
         part = rows[k : k + 10_000]
         columns = [pa.array([r[i] for r in part], t) for i, t in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([run] * len(part), pa.int32())], [*names, "run"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([run] * len(part), pa.int32()), pa.array(range(k, k + len(part)), pa.int64())], [*names, "run", "nth"])
 
 
 def order_key(row: tuple) -> tuple:
@@ -189,21 +191,26 @@ class LoserTree:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One part of the index in order, from the parts of sorted runs."""
+    """One part of the index in order, numbered, from the parts of sorted runs, whose pieces may come in any order."""
     runs: dict[int, list] = {}
     schema = None
     for batch in batches:
-        schema = schema or pa.schema(list(batch.schema)[:-1])
+        schema = schema or pa.schema(list(batch.schema)[:-2])
         columns = [c.to_pylist() for c in batch.columns]
         for row in zip(*columns, strict=True):
-            runs.setdefault(row[-1], []).append(row[:-1])
+            runs.setdefault(row[-2], []).append(row)
+    for run in runs.values():
+        run.sort(key=lambda row: row[-1])
     out: list[tuple] = []
+    part, n = TaskContext.get().partitionId(), 0
 
     def done():
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        columns = [pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(out), pa.int32()), pa.array(range(n - len(out), n), pa.int64())], [*schema.names, "part", "place"])
 
     for row in LoserTree([runs[k] for k in sorted(runs)], order_key):
         out.append(row)
+        n += 1
         if len(out) == 10_000:
             yield done()
             out = []
@@ -215,18 +222,20 @@ SCHEMA = "url_key string, captured string, id long, size long, digest string, ki
 
 
 def read_archives(spark, path: str, s: Scratch) -> DataFrame:
-    """The capture index of the archives in path, in order of URL key, time and page (SCHEMA)."""
+    """The capture index of the archives in path, in order of URL key, time and page (SCHEMA), and each entry's position in it."""
     text = spark.read.option("lineSep", END).text(path).select(F.col("value").cast("binary"))
-    runs = s.save(text.mapInArrow(_entries, f"{SCHEMA}, run int"), "runs")
+    runs = s.save(text.mapInArrow(_entries, f"{SCHEMA}, run int, nth long"), "runs")
     parts = max(1, -(-runs.count() // PART_ROWS))
-    order = ["url_key", "captured", "id"]
-    dealt = runs.sortWithinPartitions("run", *order).repartitionByRange(parts, *order)
-    return dealt.mapInArrow(_merged, SCHEMA)
+    merged = s.save(runs.repartitionByRange(parts, "url_key", "captured", "id").mapInArrow(_merged, f"{SCHEMA}, part int, place long"), "merged")
+    # a row for each part of PART_ROWS entries
+    sizes = merged.groupBy("part").agg(F.count("*").alias("n"))
+    bases = s.save(sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")), "bases")
+    return merged.join(bases, "part").withColumn("position", F.col("base") + F.col("place")).drop("part", "place", "base")
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id_col, payload_bytes, payload_digest, record_type, refers_to, url_key, captured) of each row of
-    pages, read back from archives that are written in the shared folder, in the index's order.
+    """(id_col, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, position) of each row of
+    pages, read back from archives that are written in the shared folder; position is the place in the index's order.
 
     Payloads are whole texts in UTF-8, null as empty. Rows with a null id, or of the response's own id,
     are responses. Repeated rows each have a record. A null url has the empty key. The time of a
@@ -234,4 +243,4 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     s = Scratch(pages.sparkSession, "warc")
     write_archives(pages, s.path("archives"), s, id_col, url_col, html_col)
     index = read_archives(pages.sparkSession, s.path("archives"), s)
-    return index.select(F.col("id").alias(id_col), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("first").alias("refers_to"), "url_key", "captured")
+    return index.select(F.col("id").alias(id_col), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("first").alias("refers_to"), "url_key", "captured", "position")

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -41,6 +43,51 @@ def test_held_out_accuracy_and_sentences(spark):
     assert found > 0.9 * sum(bool(rows[r["doc_id"]][1]) for r in held)
 
 
+def naive(text, weights, bias, bits):
+    """Score and sentences of a text, a sentence and a word at a time."""
+    data, clean, told, at = (text or "").encode(), 1.0, [], 0
+    low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), data)
+    sentences = [(m.start(), m.end()) for m in re.finditer(rb"[^.!?\n]*(?:[.!?\n]|$)", low)]
+    parts = [(a, b, re.findall(rb"[0-9a-z\x80-\xff]+", low[a:b])) for a, b in sentences]
+    for a, b, words in [x for x in parts if x[2]] or [(0, 0, [])]:
+        z = bias
+        for w in words:
+            found, _, _ = features(np.frombuffer(w, np.uint8), np.array([0, len(w)]), bits)
+            z += weights[found].astype(float).sum()
+        p = 1 / (1 + math.exp(-z))
+        clean *= 1 - p
+        if z > 0 and words:
+            told.append((a, b, p))
+    return 1 - clean, told
+
+
+def test_brute_force(spark, odd):
+    """Scores and spans against a noisy-or over sentences worked out one by one; also by random weights."""
+    docs, labels, rows = tables(spark)
+    t = Training(bits=12)
+    texts = {i: text for i, (text, _) in rows.items() if i < 200} | {1000 + k: r["text"] for k, r in enumerate(odd.collect()) if len(r["text"] or "") < 1000}
+    texts |= {2000: "One. two!\n\nThree? É x", 2001: "...", 2002: "no stop", 2003: "\n a.b\x00c "}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rng = np.random.default_rng(4)
+    for weights, bias in (learn(docs, labels, t), (rng.normal(0, 0.5, 1 << 12).astype(np.float32), -1.0)):
+        got, seen = {r["doc_id"]: r for r in toxicity(df, (weights, bias), t).collect()}, 0
+        for i, text in texts.items():
+            score, told = naive(text, weights, bias, t.bits)
+            assert abs(got[i]["score"] - score) < 1e-6
+            assert [(s["start"], s["end"]) for s in got[i]["sentences"]] == [(a, b) for a, b, _ in told]
+            assert all(abs(s["score"] - p) < 1e-6 for s, (_, _, p) in zip(got[i]["sentences"], told, strict=True))
+            seen += len(told)
+        assert seen > 20
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    docs, labels, _ = tables(spark)
+    full, part = learn(docs, labels, Training()), learn(docs, labels, Training(max_bytes=20_000))
+    assert np.count_nonzero(part[0]) < np.count_nonzero(full[0])
+    assert learn(docs, labels, Training(max_bytes=10))[1] == learn(docs.limit(0), labels)[1]
+    assert learn(docs, labels, Training(doc_bytes=1))[1] == -5.0
+
+
 def test_sentences_do_not_cross_rows():
     data, offsets = raw(pa.array(["a b. c", "", None, "d\ne f", "!"]))
     found, inside, of = features(data, offsets, 10)

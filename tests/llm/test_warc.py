@@ -6,8 +6,9 @@ import random
 
 import pytest
 
+from quillguard.llm import warc
 from quillguard.llm.scratch import Scratch
-from quillguard.llm.warc import END, LoserTree, archive, order_key, parsed, record, url_key, write_archives
+from quillguard.llm.warc import END, LoserTree, archive, capture_time, order_key, parsed, record, url_key, write_archives
 
 
 def expected(rows):
@@ -50,8 +51,24 @@ def test_test_data_in_order(spark):
     rows += [(10**6 + i, u, h) for i, u, h in rows[:40]]
     got = archive(pages(spark, rows, 7)).collect()
     assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(expected(rows), key=key)
-    order = [(r["url_key"], r["captured"], r["page_id"]) for r in got]
-    assert order == sorted(order)
+    order = [(r["url_key"], r["captured"], r["page_id"]) for r in sorted(got, key=lambda r: r["position"])]
+    assert order == sorted(order) and sorted(r["position"] for r in got) == list(range(len(rows)))
+
+
+def test_pieces_of_runs_in_any_order(spark, monkeypatch):
+    """Many runs in parts of few entries, whose pieces are dealt at random before they are merged."""
+    monkeypatch.setattr(warc, "PART_ROWS", 50)
+    rng = random.Random(9)
+    rows = [(k, f"http://{rng.choice('abc')}.x/{rng.randrange(40)}", "t") for k in range(400)]
+    read = Scratch.save
+
+    def shuffled(self, df, name):
+        return read(self, df, name).orderBy("digest", "nth") if name == "runs" else read(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", shuffled)
+    got = archive(pages(spark, rows, 7)).collect()
+    order = [(r["url_key"], r["captured"], r["page_id"]) for r in sorted(got, key=lambda r: r["position"])]
+    assert order == sorted((url_key(u), f"{capture_time(i):%Y-%m-%dT%H:%M:%SZ}", i) for i, u, _ in rows)
 
 
 def test_empty(spark):

@@ -218,14 +218,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct("id", "t")).alias("first")
     groups = sig.where("n > 0 and id is not null").groupBy("h1", "h2").agg(first).select("h1", "h2", "first.*")
     groups = s.save(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
-    own = sig.where("n > 0").join(groups, ["id", "t", "h1", "h2"]).dropDuplicates(["node"])
+    # one way at every size: rows are shuffled once by the keys of the join, and equal ones are dropped there
+    same = ["id", "t", "h1", "h2"]
+    own = sig.where("n > 0").join(groups.hint("merge"), same).dropDuplicates(same)
     own = s.save(own.select("node", "id", "t", "sig", "bands"), "own")
     rows = s.save(own.select("node", F.explode("bands").alias("key")), "rows")
     full = s.save(rows.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last"), "full")
     stars = s.save(rows.join(full.select("key", "centre"), "key"), "stars")
     s.drop("rows", "full")
     wanted = s.save(own.select("node", "id", "t").join(stars.select("node").distinct(), "node"), "wanted")
-    cand = texts.join(wanted, ["id", "t"]).dropDuplicates(["node"])
+    cand = texts.join(wanted.hint("merge"), ["id", "t"]).dropDuplicates(["id", "t"])
     cand = s.save(cand.select("node", "text"), "texts")
 
     def confirmed(pairs: DataFrame, k: str) -> DataFrame:

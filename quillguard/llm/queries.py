@@ -130,7 +130,7 @@ from d left join h using (doc_id) left join n using (doc_id)
 with p as (select page_id, url, coalesce(html, '') as html, sha256(coalesce(html, '')) as digest from pages),
     f as (select digest, min(page_id) as first from p where strlen(html) >= 100 group by digest),
     r as (select p.*, case when f.first <> page_id then f.first end as refers_to from p left join f using (digest)),
-    u as (select *, array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\.', ''), '.')), ',') as host,
+    u as (select *, array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www[.]', ''), '.')), ',') as host,
         lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) as path, lower(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1)) as query from r),
     k as (select *, host || ')' || case when path = '' then '/' else path end || case when query = '' then '' else '?' || array_to_string(list_sort(string_split(query, '&')), '&') end as url_key,
         strftime(timestamp '2024-01-01' + to_seconds(page_id % 4294967296), '%Y-%m-%dT%H:%M:%SZ') as captured from u)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import __version__
 from .functions.rules import PII, SECRET, RuleSet, parse_added, parse_rules
 from .operators.candidates import Options, detect, extract, masked, safe, scored
+from .operators.models import SequenceScorer, TokenDetector
 from .sources.files import FileFilter, read_files
 
 
@@ -34,6 +35,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--rule-include", default="")
         p.add_argument("--rule-exclude", default="")
         p.add_argument("--detect", choices=("secrets", "pii", "both"), default="both")
+        p.add_argument("--model", help="model file, on all executors; scan: of a scorer, detect: of a token classifier")
+        p.add_argument("--tokenizer", help="tokenizers file of the model")
+        p.add_argument("--model-labels", default="O,B-secret,I-secret,B-pii,I-pii,B-noise,I-noise", help="the classes of a token classifier")
         p.add_argument("--model-off", action="store_true")
         p.add_argument("--model-threshold", type=float, default=0.5)
         p.add_argument("--no-prefilter", action="store_true")
@@ -81,9 +85,11 @@ def settings(argv: list[str]) -> argparse.Namespace:
 
 def rule_set(args: argparse.Namespace) -> RuleSet:
     extra, disabled = parse_rules(Path(args.rule_file).read_text()) if args.rule_file else ([], [])
-    rules = RuleSet.default().extended([*extra, *map(parse_added, args.rule_add)], disabled)
     names = lambda text: [x.strip() for x in text.split(",") if x.strip()]
-    rules = rules.selected(names(args.rule_include), names(args.rule_exclude))
+    # an include list chooses among the default rules; added ones stay
+    default = RuleSet.default()
+    left_out = set(default.names()) - set(names(args.rule_include) or default.names())
+    rules = default.extended([*extra, *map(parse_added, args.rule_add)], [*disabled, *left_out, *names(args.rule_exclude)])
     return rules.of_types({"secrets": [SECRET], "pii": [PII], "both": None}[args.detect])
 
 
@@ -108,6 +114,20 @@ def texts(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, boo
     return read_files(spark, args.paths, files).select(F.col("path").alias("file"), "text"), False
 
 
+def models(args: argparse.Namespace) -> tuple[SequenceScorer | None, TokenDetector | None]:
+    """The scorer or the detector that --model names, with --tokenizer."""
+    if not args.model or args.model_off:
+        return None, None
+    if not args.tokenizer:
+        raise ValueError("--model needs --tokenizer")
+    for path in (args.model, args.tokenizer):
+        if not Path(path).is_file():
+            raise OSError(f"{path}: no such file; --model-off scans without a model")
+    if args.command == "detect":
+        return None, TokenDetector(args.model, args.tokenizer, tuple(args.model_labels.split(",")))
+    return SequenceScorer(args.model, args.tokenizer), None
+
+
 def record(row, reveal: bool) -> dict:
     """The wire form of a finding; zero and empty fields are left out."""
     out = {"file": row["file"] if row["file"] != "<stdin>" else "", "line": row["line"], "column": row["column"], "rule": row["rule"], "redacted": row["redacted"], "start": row["start"], "end": row["end"]}
@@ -118,7 +138,10 @@ def record(row, reveal: bool) -> dict:
 
 
 def main(argv: list[str] | None = None, scorer=None, detector=None) -> int:
-    """0, 1 after an error (for detect also with findings), 2 with findings if asked to fail."""
+    """0, 1 after an error (for detect also with findings), 2 with findings if asked to fail.
+
+    Findings and masked texts of files are printed as they come, or written by the executors where
+    --output-file names a folder: the driver never holds them all."""
     args = settings(sys.argv[1:] if argv is None else argv)
     if args.command == "version":
         print(__version__)
@@ -128,35 +151,73 @@ def main(argv: list[str] | None = None, scorer=None, detector=None) -> int:
         print(rules.to_json() if args.json else "\n".join(f"{r.type:<8}{r.name}" for r in rules))
         return 0
     try:
+        by_flag = models(args)
+        scorer, detector = scorer or by_flag[0], detector or by_flag[1]
         options = Options(rules=rule_set(args), min_confidence=args.model_threshold, entropy_bits=args.extract_entropy, context_bytes=args.extract_ctx, prefilter=not args.no_prefilter)
         spark = session(args.perf_workers)
         df, stdin = texts(spark, args)
         if args.output_mask:
-            found = masked(df, args.output_placeholder, options)
-            rows = found.collect() if stdin else []
-            out, count = "".join(r["masked"] for r in rows), sum(r["n_masked"] for r in rows)
+            out = masked(df, args.output_placeholder, options).select("file", "masked", "n_masked")
+            count = _masked_files(out, args) if not stdin else _masked_input(out, args)
         else:
             if args.command == "detect":
-                found = detect(df, detector, options, "file")
+                out = detect(df, detector, options, "file")
             else:
-                found = scored(extract(df, options, "file"), None if args.model_off else scorer, options.min_confidence)
-            found = found if args.output_reveal_secrets else safe(found)
-            if args.fail_fast:
-                found = found.limit(1)
-            lines = [record(r.asDict(), args.output_reveal_secrets) for r in (found.orderBy("file", "start", "end") if stdin else found).toLocalIterator()]
-            count = len(lines)
-            out = json.dumps(lines, indent=2, ensure_ascii=False) + "\n" if stdin and args.command == "scan" else "".join(json.dumps(x, ensure_ascii=False) + "\n" for x in lines)
+                out = scored(extract(df, options, "file"), None if args.model_off else scorer, options.min_confidence)
+            out = out if args.output_reveal_secrets else safe(out)
+            out = out.limit(1) if args.fail_fast else out
+            count = _findings(out, args, stdin)
     except (ValueError, OSError) as e:
         print(f"quillguard: {e}", file=sys.stderr)
         return 1
-    if args.output_file and stdin:
-        Path(args.output_file).write_text(out)
-    else:
-        sys.stdout.write(out)
     if args.command == "detect":
         return 1 if count else 0
     return 2 if count and (args.fail_end or args.fail_fast) else 0
 
 
+def _print(text: str, args: argparse.Namespace) -> None:
+    if args.output_file:
+        Path(args.output_file).write_text(text)
+    else:
+        sys.stdout.write(text)
+
+
+def _masked_input(out: DataFrame, args: argparse.Namespace) -> int:
+    row = out.first()
+    _print(row["masked"], args)
+    return row["n_masked"]
+
+
+def _masked_files(out: DataFrame, args: argparse.Namespace) -> int:
+    """Masked texts of files: JSON lines in the output folder, or one after the other, each under its path."""
+    if args.output_file:
+        out.write.mode("overwrite").json(args.output_file)
+        return out.sparkSession.read.schema(out.schema).json(args.output_file).agg(F.coalesce(F.sum("n_masked"), F.lit(0))).first()[0]
+    count = 0
+    for row in out.toLocalIterator():
+        sys.stdout.write(f"==> {row['file']} <==\n{row['masked']}" + "\n" * (not row["masked"].endswith("\n")))
+        count += row["n_masked"]
+    return count
+
+
+def _findings(out: DataFrame, args: argparse.Namespace, stdin: bool) -> int:
+    if args.output_file and not stdin:
+        wire = {f.name: ("span" if f.name == "value" else f.name) for f in out.schema}
+        out = out.select(*[F.col(k).alias(v) for k, v in wire.items() if v not in ("rule_type", "left_ctx", "right_ctx")])
+        out.write.mode("overwrite").json(args.output_file)
+        return out.sparkSession.read.schema(out.schema).json(args.output_file).count()
+    count, lines = 0, []
+    for row in (out.orderBy("start", "end") if stdin else out).toLocalIterator():
+        line = record(row.asDict(), args.output_reveal_secrets)
+        count += 1
+        if stdin:
+            lines.append(line)  # of one text
+        else:
+            sys.stdout.write(json.dumps(line, ensure_ascii=False) + "\n")
+    if stdin:
+        _print(json.dumps(lines, indent=2, ensure_ascii=False) + "\n" if args.command == "scan" else "".join(json.dumps(x, ensure_ascii=False) + "\n" for x in lines), args)
+    return count
+
+
 if __name__ == "__main__":
     sys.exit(main())

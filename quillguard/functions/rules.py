@@ -162,3 +162,53 @@ def anchors(pattern: str) -> tuple[str, ...]:
     if choices:
         return max(choices, key=lambda c: min(map(len, c)))
     return (best,) if best else ()
+
+
+def least_run(pattern: str, inside: set[str]) -> int:
+    """The fewest characters of a set that stand in a row in every match, as far as the pattern tells by itself."""
+    parts = tokens(pattern)
+
+    def pure(t: str) -> bool:
+        """Whether a single piece takes ASCII characters of the set only."""
+        if len(t) > 2 and (t[0] != "[" or t[1] == "^") or t in (".", r"\s", r"\S", r"\W", r"\D"):
+            return False
+        one = re.compile(t if len(t) > 1 else re.escape(t), re.ASCII)
+        return all(chr(c) in inside for c in range(128) if one.fullmatch(chr(c)))
+
+    def choice(k: int) -> tuple[int, int | None, int]:
+        """Of the alternatives from k to their closing bracket: the longest sure run, the least length if all is in the set, and the next k."""
+        best, whole = [], []
+        longest = run = length = 0
+        only = True
+        while True:
+            t = parts[k] if k < len(parts) else ")"
+            k += 1
+            if t in (")", "|"):
+                best.append(max(longest, run))
+                whole.append(length if only else None)
+                longest = run = length = 0
+                only = True
+                if t == ")":
+                    return min(best), None if None in whole else min(whole), k
+                continue
+            if t in (r"\b", "^", "$") or re.fullmatch(r"\(\?[imsU]+\)", t):
+                continue
+            if t[0] == "(":
+                deep, size, k = choice(k)
+            else:
+                deep, size = 0, 1 if pure(t) else None
+            least = 1
+            if k < len(parts) and parts[k] in ("?", "*", "+", "{"):
+                if parts[k] == "{":
+                    end = parts.index("}", k)
+                    least = int("".join(parts[k + 1 : end]).split(",")[0])
+                    k = end
+                else:
+                    least = int(parts[k] == "+")
+                k += 1 + (k + 1 < len(parts) and parts[k + 1] == "?")
+            if size is None:
+                only, longest, run = False, max(longest, run, deep if least else 0), 0
+            else:
+                run, length = run + size * least, length + size * least
+
+    return choice(0)[0]

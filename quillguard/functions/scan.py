@@ -13,10 +13,11 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable
+from functools import lru_cache
 from typing import NamedTuple
 
 from .regex import to_bytes
-from .rules import Rule, RuleSet, anchors
+from .rules import Rule, RuleSet, anchors, least_run
 
 # Patterns, names and sizes of the scan.
 ENTROPY_TOKEN = rb"[A-Za-z0-9+/_\-]{20,}={0,2}"
@@ -54,17 +55,38 @@ _MARKER, _PLACEHOLDER, _ASSIGNMENT = to_bytes(EXAMPLE_MARKER), to_bytes(EXAMPLE_
 _NAME, _ADDRESS, _URL = to_bytes(SOFT_NAME), to_bytes(SOFT_ADDRESS), to_bytes(URL)
 _SHAPES = tuple(to_bytes(p) for p in PLAIN_SHAPES)
 _COMMENTS = tuple(p.encode() for p in COMMENT_PREFIXES)
-_DIGITS = re.compile(rb"[0-9]{2}")
-#: What lower-cased texts need for default rules of which anchors() and digits tell nothing.
-_NEEDS = {
-    "mac_address": rb"[0-9a-f]{2}[:-]",
-    "ipv6_address": rb":[0-9a-f]{1,4}:",
-    "ipv4_address": rb"[0-9]\.[0-9]",
-    "credit_card_mastercard": rb"[0-9]{4}",
-}
-_LITERALS = {"generic_assignment_secret": ("passw", "secret", "token", "api", "auth"), "drivers_license_us": ("dl", "driver")}
+#: Characters of tokens, and how many in a row make a text worth looking for rules whose matches all have so many.
+TOKEN_SIGNS, TOKEN_RUN = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 16
+RUN = r"[A-Za-z0-9+/=_\-]{16}"
+# What every match of a default rule with no such run has in it, in the syntax that Python on bytes and Java share. Digits
+# may have up to two separators between them.
+NINE_DIGITS = r"[0-9](?:[()\-. \t\n\f\r]{0,2}[0-9]){8}"
+NEEDS = {
+    "gcp_service_account": r"\"service_account\"",
+    "azure_sas_token": r"[A-Za-z0-9%_\-]{16}",
+    "slack_bot_token": r"xox[abprs]-",
+    "jwt": r"eyJ",
+    "private_key_pem": r"-----BEGIN ",
+    "pgp_private_key": r"-----BEGIN ",
+    "db_uri_creds": r"@",
+    "http_basic_auth_url": r"@",
+    "generic_assignment_secret": r"(?i:passw(?:or)?d|secret|token|key|auth)[ \t\n\f\r]*[:=]",
+    "email_address": r"@",
+    "ipv4_address": r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]",
+    "ipv6_address": r"(?:[0-9A-Fa-f]{1,4}:){7}",
+    "mac_address": r"(?:[0-9A-Fa-f]{2}[:\-]){5}",
+    "phone_e164": r"\+[0-9]{8}",
+    "nin_uk": r"[A-Za-z]{2}[0-9]{6}",
+    "pan_in": r"[A-Z]{5}[0-9]{4}",
+    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}",
+    "passport_in": r"[A-Za-z][0-9]{7}",
+    "drivers_license_us": r"(?:[dD][lL][nN]?|[nN][cCsS][eE])[^A-Za-z0-9]{0,10}[A-Za-z0-9]{6}",
+} | dict.fromkeys(
+    ("phone_us", "ssn_us", "sin_ca", "aadhaar_in", "cpf_br", "credit_card_visa", "credit_card_mastercard", "credit_card_amex", "credit_card_discover", "credit_card_jcb", "ein_us", "itin_us", "passport_us", "passport_uk"),
+    NINE_DIGITS,
+)
 #: Letters that match k and s without being ASCII; texts with them are not passed over by literals.
-_FOLDED = ("K".encode(), "ſ".encode())
+FOLDED = ("K".encode(), "ſ".encode())
 
 
 class Span(NamedTuple):
@@ -81,37 +103,41 @@ class ModelSpan(NamedTuple):
     score: float
 
 
+@lru_cache(1)
+def _default_patterns() -> dict[str, str]:
+    return {r.name: r.pattern for r in RuleSet.default()}
+
+
+@lru_cache(1024)
+def need(rule: Rule) -> str | None:
+    """A pattern that every text with a match of the rule has a match of, unless it has letters of FOLDED; None if none is known."""
+    if rule.name in NEEDS and _default_patterns().get(rule.name) == rule.pattern:
+        return NEEDS[rule.name]
+    if least_run(rule.pattern, TOKEN_SIGNS) >= TOKEN_RUN:
+        return RUN
+    literals = ["".join("\\" + c if not c.isalnum() else c for c in x) for x in anchors(rule.pattern)]
+    return f"(?i:{'|'.join(literals)})" if literals else None
+
+
 class Matcher:
-    """A rule set ready for scanning: rules whose literals a text lacks are passed over."""
+    """A rule set ready for scanning: rules whose literals or needs a text lacks are passed over."""
 
     def __init__(self, rules: RuleSet):
-        default = {r.name: r.pattern for r in RuleSet.default()}
-        known = lambda r: _LITERALS.get(r.name, ()) if default.get(r.name) == r.pattern else ()
-        self.rules = [(r, tuple(a.encode() for a in anchors(r.pattern) or known(r)), self._digits(r)) for r in rules.or_default()]
-        self.needs = {r.name: re.compile(_NEEDS[r.name]) for r, _, _ in self.rules if r.name in _NEEDS and default[r.name] == r.pattern}
-
-    @staticmethod
-    def _digits(rule: Rule) -> bool:
-        """Whether every match has two digits in a row."""
-        from .regex import tokens
-
-        depth, parts = 0, tokens(rule.pattern)
-        for k, t in enumerate(parts[:-1]):
-            depth += (t[0] == "(" and not re.fullmatch(r"\(\?[ims]+\)", t)) - (t == ")")
-            if not depth and t == "[0-9]" and parts[k + 1] == "{" and int(re.match(r"\d+", "".join(parts[k + 2 : k + 4]))[0]) > 1:
-                return "|" not in parts or rule.pattern.count("|") == "".join(re.findall(r"\((?:[^()]|\([^()]*\))*\)", rule.pattern)).count("|")
-        return False
+        found = [(r, need(r)) for r in rules.or_default()]
+        self.needs = {n: re.compile(n.encode()) for _, n in found if n}
+        self.rules = [(r, tuple(a.encode() for a in anchors(r.pattern)), n) for r, n in found]
 
     def spans(self, text: bytes) -> list[Span]:
         """Values of all rules, in order of priority and place; overlaps included."""
-        low, digits = text.lower(), _DIGITS.search(text) is not None
-        folded = any(x in text for x in _FOLDED)
+        low, met = text.lower(), {None: True}
+        folded = any(x in text for x in FOLDED)
         out = []
-        for r, literals, needs_digits in self.rules:
-            if needs_digits and not digits or literals and not folded and not any(x in low for x in literals):
-                continue
-            if r.name in self.needs and not folded and not self.needs[r.name].search(low):
-                continue
+        for r, literals, needs in self.rules:
+            if not folded:
+                if needs not in met:
+                    met[needs] = self.needs[needs].search(text) is not None
+                if not met[needs] or literals and not any(x in low for x in literals):
+                    continue
             for m in r.compiled.finditer(text):
                 if m.start(r.group) >= 0:
                     out.append(Span(m.start(r.group), m.end(r.group), r.name, r.type))

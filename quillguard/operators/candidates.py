@@ -8,8 +8,11 @@ shuffles: every row is worked on where it is read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 from typing import Protocol
 
 import pyarrow as pa
@@ -54,27 +57,30 @@ class Options:
         return {"default": cls(entropy_bits=3.0), "scan": cls()}[name]
 
 
-#: What texts need for the default rules that have no literal, and for encoded and high-entropy values.
-_NEEDS = {"generic_assignment_secret": "[:=]", "ipv4_address": "[0-9]", "ipv6_address": ":", "mac_address": "[:-]", "drivers_license_us": "(?i:dl|licen)"}
-_LONG, _SOFT = r"[A-Za-z0-9+/_\-]{20}", r"[A-Z][a-z]+[\t\n\f\r ]+[A-Z][a-z]|[0-9][\t\n\f\r ]+[A-Za-z]"
+#: What soft spans need.
+_SOFT = r"[A-Z][a-z]+[\t\n\f\r ]+[A-Z][a-z]|[0-9][\t\n\f\r ]+[A-Za-z]"
+#: Needs that begin so are looked for only in texts with one of these signs, or with a match of this pattern.
+_SIGNS = {"[A-Za-z0-9%": ("=",), "(?i:passw": (":", "="), "(?:[0-9A-Fa-f]{1,4}": (":",), "(?:[0-9A-Fa-f]{2}": (":", "-"), "[0-9]": "[0-9]{2}|[0-9]\\.[0-9]", "[A-Z": "[A-Za-z][0-9]{2}|[A-Z]{2}[0-9]"}
 
 
 def gate(text: Column, rules: RuleSet, soft: bool = False) -> Column:
-    """Whether a text may have a candidate, or also a soft span: it has a literal, digits or a long run of
-    token characters that some rule needs. Rules of which nothing is known leave all texts in."""
-    parts, default = {_LONG, "[Kſ]"}, {r.name: r.pattern for r in RuleSet.default()}
-    if soft:
-        parts.add(_SOFT)
-    for r, literals, digits in Matcher(rules).rules:
-        if digits:
-            parts.add("[0-9]{2}")
-        elif literals:
-            parts.add("(?i:" + "|".join("".join("\\" + c if not c.isalnum() else c for c in x.decode()) for x in literals) + ")")
-        elif default.get(r.name) == r.pattern and r.name in _NEEDS:
-            parts.add(_NEEDS[r.name])
-        else:
-            return F.lit(True)
-    return F.rlike(text, F.lit("|".join(sorted(parts))))
+    """Whether a text may have a candidate, or also a soft span: it has what every match of some rule has.
+
+    Needs are the rules' own (scan.need()); a rule of which nothing is known leaves all texts in.
+    Encoded and high-entropy values need a run of token characters, as most rules do."""
+    needs = {scan.need(r) for r in rules.or_default()}
+    if None in needs:
+        return F.lit(True)
+    has = lambda *signs: reduce(or_, (F.contains(text, F.lit(s)) for s in signs))
+    plain = {n for n in needs if re.fullmatch("[A-Za-z@\" -]+|\"\\w+\"", n)}
+    groups: dict[str | tuple, list[str]] = {}
+    for n in sorted(needs - plain - {scan.RUN}):
+        groups.setdefault(next((v for k, v in _SIGNS.items() if n.startswith(k)), ""), []).append(n)
+    out = has(*sorted(plain), *(x.decode() for x in scan.FOLDED)) | F.rlike(text, F.lit(scan.RUN))
+    for sign, parts in groups.items():
+        found = F.rlike(text, F.lit("|".join(parts)))
+        out = out | ((has(*sign) if isinstance(sign, tuple) else F.rlike(text, F.lit(sign))) & found if sign else found)
+    return out | F.rlike(text, F.lit(_SOFT)) if soft else out
 
 
 def _rows(texts: pa.Array) -> Iterator[bytes]:
@@ -173,14 +179,17 @@ def scored(cands: DataFrame, scorer: Scorer | None, min_confidence: float = 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                triples = list(zip(*(batch.column(n).to_pylist() for n in ("left_ctx", "value", "right_ctx")), strict=True))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([float(p) for p in scorer(triples)])], [*batch.schema.names, "confidence"])
+            secret = [i for i, x in enumerate(batch.column("rule_type").to_pylist()) if x != PII]
+            out = [1.0] * batch.num_rows
+            if secret:
+                part = batch.take(pa.array(secret))
+                triples = list(zip(*(part.column(n).to_pylist() for n in ("left_ctx", "value", "right_ctx")), strict=True))
+                for i, p in zip(secret, scorer(triples), strict=True):
+                    out[i] = float(p)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "confidence"])
 
     ship(cands.sparkSession)
-    secrets = cands.where(F.col("rule_type") != PII).mapInArrow(run, fields)
-    out = secrets.unionByName(cands.where(F.col("rule_type") == PII).withColumn("confidence", F.lit(1.0)))
-    return out.where(F.col("confidence") >= min_confidence)
+    return cands.mapInArrow(run, fields).where(F.col("confidence") >= min_confidence)
 
 
 def batch_score(triples: DataFrame, scorer: Scorer | None) -> DataFrame:
@@ -229,24 +238,36 @@ def detect(df: DataFrame, detector: Detector | None = None, options: Options | N
 def masked(df: DataFrame, placeholder: str = "", options: Options | None = None, text_col: str = "text", out_col: str = "masked") -> DataFrame:
     """df with out_col, the text with its candidates replaced, and n_masked, how many there were.
 
-    Texts that cannot have a hit keep out of Python's rules; a null text stays null."""
+    Python gets the texts that can have a hit and nothing else of a row; a null text stays null."""
+    out = redacted(df, placeholder, options, text_col, out_col, "findings__")
+    return out.withColumn("n_masked", F.coalesce(F.size("findings__"), F.lit(0))).drop("findings__")
+
+
+def redacted(df: DataFrame, placeholder: str = "", options: Options | None = None, text_col: str = "text", out_col: str = "masked", findings_col: str = "findings") -> DataFrame:
+    """df with out_col, the text with its candidates replaced, and findings_col, an array of the candidates
+    (CANDIDATE) that were: empty where there are none, null for a null text."""
     o = options or Options()
     ship(df.sparkSession)
-    fields = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType()), T.StructField("n_masked", T.IntegerType())])
-    at = df.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(o.rules)
-        for batch in batches:
-            out, counts = [], []
-            for value in batch.column(at).cast(pa.binary()):
-                text = value.as_py()
-                found = scan.candidates(text, matcher, o.entropy_bits) if text else []
-                out.append(None if text is None else scan.mask(text, [(c.start, c.end, c.rule) for c in found], matcher, placeholder) if found else _text(text))
-                counts.append(len(found))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string()), pa.array(counts, pa.int32())], [*batch.schema.names, out_col, "n_masked"])
-
-    return df.mapInArrow(run, fields)
+    kinds = pa.struct([("text", pa.string()), ("found", pa.list_(pa.struct(list(zip(_NAMES, _ARROW, strict=True)))))])
+    fields = ", ".join(f"`{x.split(' ')[0]}`: {x.split(' ')[1]}" for x in CANDIDATE.split(", "))
+    made: dict[str, Matcher] = {}
+
+    def run(texts: pa.Array) -> pa.Array:
+        matcher = made.get("m") or made.setdefault("m", Matcher(o.rules))
+        out = []
+        for value in texts.cast(pa.binary()):
+            text = value.as_py()
+            found = candidate_rows(text, matcher, o) if text else []
+            whole = scan.mask(text, [(c[0], c[1], c[2]) for c in found], matcher, placeholder) if found else None
+            out.append({"text": whole, "found": [dict(zip(_NAMES, c, strict=True)) for c in found]})
+        return pa.array(out, kinds)
+
+    text = F.col(text_col).cast("string")
+    udf = F.arrow_udf(run, f"text string, found array<struct<{fields}>>")
+    done = df.withColumn(findings_col, udf(F.when(gate(text, o.rules), text)))
+    none = F.array().cast(f"array<struct<{fields}>>")
+    done = done.withColumn(out_col, F.coalesce(F.col(findings_col)["text"], text))
+    return done.withColumn(findings_col, F.when(text.isNotNull(), F.coalesce(F.col(findings_col)["found"], none)))
 
 
 def safe(found: DataFrame) -> DataFrame:

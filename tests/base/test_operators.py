@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillguard import cli
 from quillguard.functions import scan
-from quillguard.functions.rules import RuleSet
+from quillguard.functions.rules import Rule, RuleSet
 from quillguard.operators import candidates as C
 from quillguard.operators import intervals as I
 from quillguard.plans.queries import LITERALS, QUERIES, SQL, literals
@@ -33,6 +33,32 @@ def test_no_shuffle_and_filter_below_python(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
+@pytest.mark.parametrize("table,text,most", [("documents", "text", 0.25), ("pages", "html", 0.3), ("conversations", "text", 0.1)])
+def test_share_of_texts_that_reach_python(spark, table, text, most):
+    """Few of the test tables' texts have what some rule needs; all that have a candidate do."""
+    df = spark.read.parquet(f"/root/testdata/sf0.01/{table}.parquet").withColumn("id", F.monotonically_increasing_id()).cache()
+    assert df.where(C.gate(F.col(text), RuleSet.default())).count() <= most * df.count()
+    every = C.extract(df, C.Options(rules=RuleSet((*RuleSet.default().rules, Rule("none", "$[a]")))), "id", text)
+    assert sorted(r[0] for r in every.select("id").collect()) == sorted(r[0] for r in C.extract(df, None, "id", text).select("id").collect())
+
+
+def test_redacted(spark):
+    df = literals(spark).select("doc_id", "text", F.lit(1).alias("n_masked"), F.lit("x").alias("masked")).union(spark.createDataFrame([(99, None, 1, "x")], "doc_id long, text string, n_masked int, masked string"))
+    out = {r["doc_id"]: r for r in C.redacted(df).collect()}
+    assert out[99]["masked"] is None and out[99]["findings"] is None and out[16]["findings"] == [] and out[16]["masked"] == ""
+    for i, t in LITERALS:
+        found = scan.candidates(t.encode(), M)
+        assert [(f["start"], f["end"], f["rule"]) for f in out[i]["findings"]] == [(c.start, c.end, c.rule) for c in found]
+        assert out[i]["masked"] == scan.mask(t.encode(), [(c.start, c.end, c.rule) for c in found], M)
+    counts = {r["doc_id"]: r["n_masked"] for r in C.masked(df).collect()}
+    assert counts == {i: len(r["findings"] or []) for i, r in out.items()}
+
+
+def test_scored_reads_its_input_once(spark):
+    plan = C.scored(C.extract(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")), lambda t: [1.0] * len(t))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_scorer_sees_secrets_only(spark):
     seen = spark.sparkContext.accumulator(0)
 
@@ -176,10 +202,36 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert run("scan", "-")[1].startswith("mail [RED")
 
 
-def test_every_query_runs_and_sql_names_exist(spark):
-    assert set(SQL) <= set(QUERIES)
-    for name in ("all_candidates_documents", "mask_fixed_placeholder", "plain_model_scan", "hybrid_with_model"):
-        QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+def test_cli_writes_folders_and_prints_masked_files(spark, tmp_path, capsys):
+    root, key = tree(tmp_path), LITERALS[0][1].split()[-1]
+    run = lambda *a: (cli.main(list(a)), capsys.readouterr())
+    code, out = run("scan", root, "-o", str(tmp_path / "found"), "-f")
+    rows = [json.loads(x) for p in (tmp_path / "found").glob("part-*") for x in p.read_text().splitlines()]
+    assert code == 2 and out.out == "" and [r["rule"] for r in rows] == ["aws_access_key_id"] and not {"span", "value", "left_ctx"} & set(rows[0])
+    code, out = run("scan", root, "-m")
+    assert code == 0 and key not in out.out and "[REDACTED_AWS_ACCESS_KEY_ID_1]" in out.out and "x = 1\n" in out.out and out.out.count("==> ") == 4
+    code, out = run("scan", root, "-m", "-o", str(tmp_path / "masked"), "-p", "#", "-f")
+    rows = {json.loads(x)["file"]: json.loads(x) for p in (tmp_path / "masked").glob("part-*") for x in p.read_text().splitlines()}
+    assert code == 2 and len(rows) == 4 and rows[f"{root}/src/c.env"]["masked"] == LITERALS[0][1].replace(key, "#")
+
+
+def test_cli_models_and_rules(spark, tmp_path, capsys, monkeypatch):
+    root = tree(tmp_path)
+    assert cli.main(["detect", root, "--model", "m.onnx"]) == 1 and "--tokenizer" in capsys.readouterr().err
+    assert cli.main(["scan", root, "--model", "m.onnx", "--tokenizer", "t.json"]) == 1 and "m.onnx" in capsys.readouterr().err
+    (tmp_path / "m.onnx").write_text("")
+    args = cli.settings(["detect", root, "--model", str(tmp_path / "m.onnx"), "--tokenizer", str(tmp_path / "m.onnx")])
+    assert cli.models(args)[1].labels[1] == "B-secret" and cli.models(args)[0] is None
+    args = cli.settings(["scan", root, "--model", str(tmp_path / "m.onnx"), "--tokenizer", str(tmp_path / "m.onnx")])
+    assert cli.models(args)[0].model.endswith("m.onnx") and cli.models(args)[1] is None
+    names = lambda *a: cli.rule_set(cli.settings(["scan", root, *a])).names()
+    assert names("--rule-include", "jwt", "--rule-add", "mine=x+") == ["jwt", "mine"]
+    assert names("--rule-include", "jwt,ssn_us", "--rule-exclude", "jwt,mine", "--rule-add", "mine=x+") == ["ssn_us"]
+    assert len(names("--rule-exclude", "jwt")) == 91
+
+
+def test_every_query_has_sql():
+    assert set(SQL) == set(QUERIES)
 
 
 def test_entry_points(spark):

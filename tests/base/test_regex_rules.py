@@ -109,11 +109,35 @@ def test_literals_never_hide_a_match(re2):
 
 
 def test_gate_never_hides_a_match(spark, re2):
+    """For all rules together, and for each alone, where other rules' needs don't let a text through."""
     from quillguard.operators.candidates import gate
 
-    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string").cache()
     closed = {r["id"] for r in df.where(~gate(F.col("text"), RULES)).collect()}
     assert not [k for k in re2 if k[1] in closed]
+    alone = {r.name: ~gate(F.col("text"), R.RuleSet((r,))) for r in RULES}
+    for k in range(0, len(RULES), 23):
+        for row in df.select("id", *[alone[n].alias(n) for n in RULES.names()[k : k + 23]]).collect():
+            assert not [n for n in RULES.names()[k : k + 23] if row[n] and (n, row["id"]) in re2]
+
+
+def test_needs_hold_for_every_sample():
+    from quillguard.functions.scan import FOLDED, RUN, need
+
+    rng, runs = random.Random(12), 0
+    for r in RULES:
+        n = re.compile(need(r).encode())
+        runs += need(r) == RUN
+        for _ in range(300):
+            t = sample(rng, r.pattern).encode()
+            assert not r.compiled.search(t) or any(x in t for x in FOLDED) or n.search(t), (r.name, t)
+    assert runs > 50
+
+
+def test_least_run():
+    inside = set("abc")
+    for pattern, n in (("abc", 3), ("a{4}x", 4), ("ab?c", 2), ("(?:ab|abc)c+", 3), ("a|bbb", 1), ("a(?:x|bb)c", 1), ("[ab]{2,}[^x]c", 2), (r"\ba*\b", 0), ("(?i)ab", 2), ("aa(?:bb)?cc", 4), ("aa(?:xx)?cc", 2)):
+        assert R.least_run(pattern, inside) == n, pattern
 
 
 def test_spark_columns_match_as_re2(spark, re2):

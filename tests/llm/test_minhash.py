@@ -61,8 +61,7 @@ def test_dense_group_and_blocks(spark):
             words[rng.randrange(len(words))] = f"z{rng.randrange(10**7)}"
         rows.append((1000 - k, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for centres in (1, 3, 32):
-        assert got(near_duplicates(df, params=NearDup(block=16, centres=centres))) == brute(rows)
+    assert got(near_duplicates(df, params=NearDup(block=16, centres=3))) == brute(rows)
 
 
 def test_pair_whose_bytes_agree_in_an_earlier_band(spark):
@@ -78,13 +77,12 @@ def test_pair_whose_bytes_agree_in_an_earlier_band(spark):
     assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == expected
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_one_id_with_several_texts(spark, seed):
+def test_one_id_with_several_texts(spark):
     """Two texts under each id and a near copy of each: every text keeps its own links."""
-    rng, rows, expected = random.Random(seed), [], []
+    rng, rows, expected = random.Random(1), [], []
     for i in range(20):
         for k in range(2):
-            words = [f"s{seed}i{i}k{k}w{x}" for x in range(150)]
+            words = [f"i{i}k{k}w{x}" for x in range(150)]
             near = list(words)
             near[rng.randrange(150)] = "z"
             copy = 1000 + 10 * i + k

@@ -106,10 +106,10 @@ from documents d join l on l.node = d.doc_id left join c on c.doc_id = d.doc_id
 with d as (select doc_id, coalesce(strlen(text), 0)::bigint as n_bytes,
         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h from documents),
     p as (select depth, h >> (60 - depth) as prefix, sum(n_bytes)::bigint as shard_bytes
-        from d, (select unnest(range(0, 61))::int as depth) group by all having sum(n_bytes) <= 1048576)
-select d.doc_id, d.n_bytes, p.depth, p.prefix, 0::bigint as page, p.shard_bytes
-from d join p on p.prefix = d.h >> (60 - p.depth)
-qualify row_number() over (partition by d.doc_id order by p.depth) = 1
+        from d, (select unnest(range(0, 61))::int as depth) group by all having sum(n_bytes) <= 1048576),
+    a as (select d.doc_id, d.n_bytes, p.depth, p.prefix, 0::bigint as page, p.shard_bytes from d join p on p.prefix = d.h >> (60 - p.depth)
+        qualify row_number() over (partition by d.doc_id order by p.depth) = 1)
+select *, max(depth) over () as global_depth, 1::bigint << (max(depth) over () - depth) as slots from a
 """,
     "op8_decontamination": f"""
 with b as (select item_id, regexp_extract_all({_FOLD.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),

@@ -128,6 +128,32 @@ def test_shards(docs, odd, none, sample, limit):
     assert sharding.shards(none, limit).collect() == []
 
 
+def check_directory(out):
+    """Every slot of the global depth belongs to one bucket, or to none where no document hashes to it."""
+    rows = sharding.buckets(out).collect()
+    depth = max((r["depth"] for r in rows), default=0)
+    spans = sorted({(r["first_slot"], r["first_slot"] + r["slots"]) for r in rows})
+    assert all(r["global_depth"] == depth and r["slots"] == 1 << (depth - r["depth"]) for r in rows)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False)) and (not spans or spans[-1][1] <= 1 << depth)
+    for r in out.collect():
+        h = int(hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()[:15], 16)
+        assert sum(a <= h >> (60 - depth) < b for a, b in spans) == 1
+
+
+def test_directory_and_written_shards(spark, docs, odd, tmp_path):
+    for k, df in enumerate((docs, odd)):
+        out = sharding.shards(df, 3000)
+        check_directory(out)
+        path = tmp_path / f"s{k}"
+        sharding.write_shards(df, f"file://{path}", 3000)
+        sizes = {"-".join(map(str, r[:3])): r["shard_bytes"] for r in out.select("depth", "prefix", "page", "shard_bytes").distinct().collect()}
+        assert {p.name for p in path.glob("shard=*")} == {f"shard={x}" for x in sizes}
+        read = spark.read.option("basePath", f"file://{path}").parquet(f"file://{path}").groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("row.text"), F.lit(0))), F.count("*")).collect()
+        assert {r[0]: r[1] for r in read} == sizes and all(r[1] <= 3000 or r[2] == 1 for r in read)
+        back = sharding.read_shards(spark, f"file://{path}")
+        assert back.columns == df.columns and Counter(map(tuple, back.collect())) == Counter(map(tuple, df.collect()))
+
+
 def test_equal_ids_overflow_into_pages(spark):
     rows = [(1, "x" * (k % 3 * 40)) for k in range(200)] + [(2, "y")]
     out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), 500).collect()

@@ -18,8 +18,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a window, and how many of its terms are in the index.
 WINDOW, ANCHORS = 13, 2
-#: Term tables of at most so many rows are broadcast, larger ones shuffled.
-SMALL = 200_000
+#: Tables of terms of at most so many rows and bytes are broadcast, larger ones shuffled.
+SMALL, SMALL_BYTES = 200_000, 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -36,8 +36,14 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
+def _fits(df: DataFrame, text: Column) -> bool:
+    """Whether a table of terms, text being all there is in a row, is small enough to broadcast, by its rows and bytes."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return rows <= SMALL and size <= SMALL_BYTES
+
+
+def _small(df: DataFrame, text: Column) -> DataFrame:
+    return F.broadcast(df) if _fits(df, text) else df.hint("merge")
 
 
 def windows(items: DataFrame, s: Scratch, size: int, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -62,12 +68,18 @@ class Index:
         placed = found.select("wid", F.posexplode("terms").alias("place", "term"))
         terms = placed.select("term").distinct()
         tokens = self.docs.select(F.explode(words(F.col("text"))).alias("word")).select(folded(F.col("word")).alias("term"))
-        counts = s.save(tokens.join(_small(s.save(terms, "terms")), "term").groupBy("term").agg(F.count("*").alias("n")), "counts")
+        terms = s.save(terms, "terms")
+        count = F.count("*").alias("n")
+        if _fits(terms, F.col("term")):
+            counts = tokens.join(F.broadcast(terms), "term").groupBy("term").agg(count)
+        else:  # words are counted where they are read, so that a frequent one is a row a task and not one a place
+            counts = tokens.groupBy("term").agg(count).join(terms.hint("merge"), "term").select("term", "n")
+        counts = s.save(counts, "counts")
         ranked = placed.join(counts, "term", "left").select("wid", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "term").alias("t"))
         rare = ranked.groupBy("wid").agg(F.array_sort(F.collect_list("t")).alias("t"))
         rare = rare.where(F.col("t")[0]["n"] > 0).select("wid", F.explode(F.slice("t", 1, anchors)).alias("t"))  # a window whose term is nowhere is nowhere
         self.rare = s.save(rare.select("wid", "t.place", "t.term"), "rare")
-        keys = _small(s.save(self.rare.select("term").distinct(), "anchor_terms"))
+        keys = _small(s.save(self.rare.select("term").distinct(), "anchor_terms"), F.col("term"))
         texts = self.docs.select(digest(F.col("text")).alias("text_key"), words(F.col("text")).alias("w"))
         postings = texts.select("text_key", F.posexplode("w").alias("pos", "word")).select("text_key", "pos", folded(F.col("word")).alias("term"))
         self.postings = s.save(postings.join(keys, "term").distinct(), "postings")
@@ -91,7 +103,7 @@ class Index:
         texts = self.docs.select(digest(F.col("text")).alias("text_key"), "text").join(keys, "text_key", "left_semi")
         tokens = texts.dropDuplicates(["text_key"]).select("text_key", F.posexplode(words(F.col("text"))).alias("pos", "word"))
         tokens = tokens.select("text_key", "pos", folded(F.col("word")).alias("term"))
-        need = cand.join(_small(self.found), "wid").select("text_key", "wid", "start", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
+        need = cand.join(_small(self.found, F.concat_ws(" ", "terms")), "wid").select("text_key", "wid", "start", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
         spot = F.col("start") + F.col("place")
         if slop:
             need = need.withColumn("pos", F.explode(F.sequence(spot - slop, spot + slop)))

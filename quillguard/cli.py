@@ -21,8 +21,8 @@ from .sources.files import FileFilter, read_files
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quillguard")
-    top.add_argument("--config", default=".quillguard.json", help="defaults of options, as JSON; flags and QUILLGUARD_* variables come first")
-    top.add_argument("--preset", help="JSON file whose values come before all others")
+    top.add_argument("--config", default=".quillguard.json", help="defaults of options, as JSON or, where PyYAML is there, YAML; flags and QUILLGUARD_* variables come first")
+    top.add_argument("--preset", help="such a file whose values come before all others")
     sub = top.add_subparsers(dest="command", required=True)
     for name in ("scan", "detect"):
         p = sub.add_parser(name)
@@ -57,6 +57,17 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _values(path: Path) -> dict:
+    """Option values of a JSON or YAML file."""
+    if path.suffix in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path}: PyYAML is not installed") from e
+        return yaml.safe_load(path.read_text()) or {}
+    return json.loads(path.read_text())
+
+
 def settings(argv: list[str]) -> argparse.Namespace:
     """Options: the preset file, then flags, variables, the config file and defaults."""
     top = parser()
@@ -71,13 +82,14 @@ def settings(argv: list[str]) -> argparse.Namespace:
             return str(value).lower() in ("1", "true", "yes")
         return type(now)(value) if now is not None and not isinstance(now, list) else value
 
-    config = next((json.loads(p.read_text()) for p in (Path(args.config), Path.home() / args.config) if p.is_file()), {})
+    names = [args.config, *([".quillguard.yaml"] if args.config == ".quillguard.json" else [])]
+    config = next((_values(p) for p in (x / n for n in names for x in (Path("."), Path.home())) if p.is_file()), {})
     values = {k.replace("-", "_"): v for k, v in config.items()} | {k[11:].lower(): v for k, v in os.environ.items() if k.startswith("QUILLGUARD_")}
     for k, v in values.items():
         if k not in given and hasattr(args, k):
             setattr(args, k, fit(k, v))
     if args.preset:
-        for k, v in json.loads(Path(args.preset).read_text()).items():
+        for k, v in _values(Path(args.preset)).items():
             if hasattr(args, name := k.replace("-", "_")):
                 setattr(args, name, fit(name, v))
     return args

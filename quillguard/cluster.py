@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_KEPT: list[tempfile.TemporaryDirectory] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -17,7 +18,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp()) / f"{root.name}-{sc.applicationId}.zip"
+    folder = tempfile.TemporaryDirectory()  # the driver serves the file from there; it goes with the process
+    _KEPT.append(folder)
+    target = Path(folder.name) / f"{root.name}-{sc.applicationId}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*")):
             if p.suffix in (".py", ".json"):

@@ -1,12 +1,13 @@
 """Scorers and detectors over model files, for scored(), batch_score() and detect().
 
 Models are loaded once in a Python worker, from paths that every executor can open. run is the model
-itself, (ids, mask) to logits; without one, onnxruntime runs the model file.
+itself, (ids, mask) to logits; without one, the model file is run: a container in numpy (encoder.py), others by onnxruntime.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import struct
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -15,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 from ..functions.scan import ModelSpan, best_of_type, decode_bio, sliding_windows
+from .encoder import load
 
 # What stands around a candidate, the pad id, and the model container's format.
 OPEN, CLOSE, PAD = "[CAND]", "[/CAND]", 1
@@ -34,6 +36,19 @@ def _onnx(path: str) -> Run:
     return lambda ids, mask: session.run(None, dict(zip(names, (ids, mask), strict=False)))[0]
 
 
+def _runner(path: str) -> Run:
+    """The model of a file: a container runs in numpy, all else in onnxruntime."""
+    with open(path, "rb") as f:
+        head = f.read(len(MAGIC))
+    return load(path) if head == MAGIC else _onnx(path)
+
+
+def model_version(path: str) -> str:
+    """The name that a model container gives itself; the file's name for others."""
+    run = _runner(path) if path.endswith(".hbin") else None
+    return getattr(run, "version", "") or os.path.basename(path)
+
+
 @lru_cache(4)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -62,7 +77,7 @@ class SequenceScorer:
     run: Run | None = None
 
     def __call__(self, triples: list[tuple[str, str, str]]) -> list[float]:
-        tokenizer, run = _tokenizer(self.tokenizer), self.run or _onnx(self.model)
+        tokenizer, run = _tokenizer(self.tokenizer), self.run or _runner(self.model)
         texts = [f"{a or ''}{OPEN}{v}{CLOSE}{b or ''}" for a, v, b in triples]
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))  # texts of like lengths together
         out = [0.0] * len(texts)
@@ -85,7 +100,7 @@ class TokenDetector:
     run: Run | None = None
 
     def __call__(self, text: bytes) -> list[ModelSpan]:
-        tokenizer, run = _tokenizer(self.tokenizer), self.run or _onnx(self.model)
+        tokenizer, run = _tokenizer(self.tokenizer), self.run or _runner(self.model)
         found = []
         for a, b in sliding_windows(len(text)):
             window = text[a:b].decode("utf-8", "replace")

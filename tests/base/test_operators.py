@@ -228,6 +228,10 @@ def test_cli_models_and_rules(spark, tmp_path, capsys, monkeypatch):
     assert names("--rule-include", "jwt", "--rule-add", "mine=x+") == ["jwt", "mine"]
     assert names("--rule-include", "jwt,ssn_us", "--rule-exclude", "jwt,mine", "--rule-add", "mine=x+") == ["ssn_us"]
     assert len(names("--rule-exclude", "jwt")) == 91
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("rule-exclude: jwt\noutput-mask: true\n")
+    args = cli.settings(["--config", str(tmp_path / "c.yaml"), "scan", root])
+    assert args.rule_exclude == "jwt" and args.output_mask
 
 
 def test_every_query_has_sql():

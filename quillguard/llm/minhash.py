@@ -222,6 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = ["id", "t", "h1", "h2"]
     own = sig.where("n > 0").join(groups.hint("merge"), same).dropDuplicates(same)
     own = s.save(own.select("node", "id", "t", "sig", "bands"), "own")
+    sig = s.save(sig.select("id", "n", "h1", "h2"), "sets")
+    s.drop("signatures")
     rows = s.save(own.select("node", F.explode("bands").alias("key")), "rows")
     full = s.save(rows.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last"), "full")
     stars = s.save(rows.join(full.select("key", "centre"), "key"), "stars")
@@ -268,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = s.save(linked.groupBy("label").agg(F.min("id").alias("least")), "least")
     by_set = s.save(linked.join(least, "label").select("h1", "h2", "least"), "least_by_set")
     by_set = s.save(groups.join(by_set, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "id").alias("label")), "by_set")
-    out = sig.select("id", "n", "h1", "h2").join(by_set, ["h1", "h2"], "left")
+    out = sig.join(by_set, ["h1", "h2"], "left")
     linked = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.coalesce("label", "id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), linked.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -57,7 +57,7 @@ _SHAPES = tuple(to_bytes(p) for p in PLAIN_SHAPES)
 _COMMENTS = tuple(p.encode() for p in COMMENT_PREFIXES)
 #: Characters of tokens, and how many in a row make a text worth looking for rules whose matches all have so many.
 TOKEN_SIGNS, TOKEN_RUN = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 16
-RUN = r"[A-Za-z0-9+/=_\-]{16}"
+RUN = r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{16}"
 # What every match of a default rule with no such run has in it, in the syntax that Python on bytes and Java share. Digits
 # may have up to two separators between them.
 NINE_DIGITS = r"[0-9](?:[()\-. \t\n\f\r]{0,2}[0-9]){8}"
@@ -80,7 +80,7 @@ NEEDS = {
     "pan_in": r"[A-Z]{5}[0-9]{4}",
     "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}",
     "passport_in": r"[A-Za-z][0-9]{7}",
-    "drivers_license_us": r"(?:[dD][lL][nN]?|[nN][cCsS][eE])[^A-Za-z0-9]{0,10}[A-Za-z0-9]{6}",
+    "drivers_license_us": r"[dDnN](?:[lL][nN]?|[cCsS][eE])[^A-Za-z0-9]{0,10}[A-Za-z0-9]{6}",
 } | dict.fromkeys(
     ("phone_us", "ssn_us", "sin_ca", "aadhaar_in", "cpf_br", "credit_card_visa", "credit_card_mastercard", "credit_card_amex", "credit_card_discover", "credit_card_jcb", "ein_us", "itin_us", "passport_us", "passport_uk"),
     NINE_DIGITS,

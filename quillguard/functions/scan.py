@@ -80,7 +80,7 @@ NEEDS = {
     "pan_in": r"[A-Z]{5}[0-9]{4}",
     "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}",
     "passport_in": r"[A-Za-z][0-9]{7}",
-    "drivers_license_us": r"[dDnN](?:[lL][nN]?|[cCsS][eE])[^A-Za-z0-9]{0,10}[A-Za-z0-9]{6}",
+    "drivers_license_us": r"(?i:licen[cs]e|dln?)[^A-Za-z0-9]{0,10}[A-Za-z0-9]{6}",
 } | dict.fromkeys(
     ("phone_us", "ssn_us", "sin_ca", "aadhaar_in", "cpf_br", "credit_card_visa", "credit_card_mastercard", "credit_card_amex", "credit_card_discover", "credit_card_jcb", "ein_us", "itin_us", "passport_us", "passport_uk"),
     NINE_DIGITS,

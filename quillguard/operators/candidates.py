@@ -62,6 +62,7 @@ _SOFT = r"[A-Z][a-z]+[\t\n\f\r ]+[A-Z][a-z]|[0-9][\t\n\f\r ]+[A-Za-z]"
 #: Needs that begin so are looked for only in texts with this sign, or with a match of this quicker pattern.
 _SIGNS = {
     "[A-Za-z0-9%": ("=",),
+    "(?i:licen": "[dD][lL]|[lL][iI][cC]",
     "(?i:passw": "[dhntyDHNTY][ \\t\\n\\f\\r]*[:=]",
     "(?:[0-9A-Fa-f]": "[:\\-][0-9A-Fa-f]{1,4}[:\\-]",
     "[0-9]": "[0-9]{2}|[0-9]\\.[0-9]",

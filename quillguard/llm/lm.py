@@ -69,7 +69,7 @@ def _unpack_some(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def width(order: int, size: int) -> int:
     """Bits of the keys of an order for so many bytes of text in all."""
-    return 64 if order == 1 else min(64, size.bit_length() + 22)
+    return 64 if order == 1 else min(64, size.bit_length() + 19)
 
 
 def _shards(keys: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, list[int]]:

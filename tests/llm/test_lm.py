@@ -151,7 +151,7 @@ def test_states_sum_to_one():
 
 
 def test_width_of_keys():
-    assert lm.width(1, 10) == 64 and lm.width(2, 1 << 29) == 52 and lm.width(3, 10**15) == 64
+    assert lm.width(1, 10) == 64 and lm.width(2, 1 << 29) == 49 and lm.width(3, 10**15) == 64
 
 
 def test_packing():
